@@ -32,6 +32,8 @@ SIMILARITY = 0.7
 #: Cells of the frequency sketch: 8 MB at one byte a cell, whatever the size of the corpus.
 SKETCH_BITS = 23
 SKETCH_PARTS = 32
+#: Cells of the filter on candidates' ids, fixed as well.
+CANDIDATE_BITS = 22
 
 
 
@@ -56,7 +58,7 @@ def content_keys(records: DataFrame, files: DataFrame, languages=LANGUAGES, min_
 
 
 def _sketch(sets: DataFrame, bits: int) -> np.ndarray:
-    """Saturating counts by cell of the evaluation side's shingles; its size is fixed."""
+    """Saturating counts by cell of the numbers in the lists ``s``; its size is fixed."""
     size, parts = 1 << bits, SKETCH_PARTS
     step = size // parts
 
@@ -80,7 +82,7 @@ def _sketch(sets: DataFrame, bits: int) -> np.ndarray:
         return pd.DataFrame({"part": [pdf["part"].iloc[0]], "counts": [total.tobytes()]})
 
     out = np.zeros(size, dtype=np.uint8)
-    merged = sets.where("is_eval").select("s").mapInPandas(count, "part int, counts binary").groupBy("part").applyInPandas(merge, "part int, counts binary")
+    merged = sets.select("s").mapInPandas(count, "part int, counts binary").groupBy("part").applyInPandas(merge, "part int, counts binary")
     for r in merged.collect():
         out[r["part"] * step : (r["part"] + 1) * step] = np.frombuffer(r["counts"], dtype=np.uint8)
     return out
@@ -88,7 +90,7 @@ def _sketch(sets: DataFrame, bits: int) -> np.ndarray:
 
 def near_contents(sets: DataFrame, similarity: float = SIMILARITY, bits: int = SKETCH_BITS) -> DataFrame:
     """``e, t``: ids of evaluation and training contents (``id, is_eval, is_train, s``) that are near-same."""
-    sketch = sets.sparkSession.sparkContext.broadcast(_sketch(sets, bits))
+    sketch = sets.sparkSession.sparkContext.broadcast(_sketch(sets.where("is_eval"), bits))
     mask = np.uint64((1 << bits) - 1)
 
     @F.pandas_udf("array<struct<h: long, p: int>>")
@@ -120,6 +122,16 @@ def near_contents(sets: DataFrame, similarity: float = SIMILARITY, bits: int = S
         .select("e", "t")
         .distinct()
     )
+    cand = materialize(cand, "candidates")
+    # Only sets of candidates go on: a filter of fixed size on their ids spares the rest the shuffle.
+    wanted = sets.sparkSession.sparkContext.broadcast(_sketch(cand.select(F.array(F.xxhash64("e"), F.xxhash64("t")).alias("s")), CANDIDATE_BITS))
+    wmask = np.uint64((1 << CANDIDATE_BITS) - 1)
+
+    @F.pandas_udf("boolean")
+    def may_match(h: pd.Series) -> pd.Series:
+        return pd.Series(wanted.value[(h.to_numpy(dtype=np.int64).view(np.uint64) & wmask).astype(np.int64)] > 0)
+
+    sets = sets.where(may_match(F.xxhash64("id")))
     es = sets.where("is_eval").select(F.col("id").alias("e"), F.col("s").alias("se"))
     ts = sets.where("is_train").select(F.col("id").alias("t"), F.col("s").alias("st"))
     common = F.size(F.array_intersect("se", "st"))
