@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import encode, leakage, overlap, packing, splits
+from siltstone.llm import encode, leakage, license, overlap, packing, personal, secrets, splits
 from siltstone.session import ship, table
 
 
@@ -30,11 +30,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p1_report": _on("files", "repos", "staged_repos")(splits.split_report),
         "p2_found": _on("records", "files")(overlap.pairs_found),
         "p2_report": _on("records", "files")(overlap.overlap_report),
+        "p5_found": _on("records")(secrets.secret_lines),
+        "p5_redacted": _on("records")(secrets.redact_records),
+        "p6_found": _on("records", "repos", "staged_repos")(license.licenses_found),
+        "p6_repositories": _on("records", "repos", "staged_repos")(license.repository_report),
         "p7_chunks": _on("records")(packing.pack),
         "p7_report": _on("records")(lambda r: packing.pack_report(packing.pack(r))),
         "p8_ids": _on("documents")(encode.encode_corpus),
         "p9_found": _on("documents", "eval_items")(lambda d, e: leakage.find_leaks(d, e).select("doc_id", "item_id").distinct()),
         "p9_removed": _on("documents", "eval_items")(lambda d, e: leakage.remove_leaks(d, leakage.find_leaks(d, e))),
+        "p10_found": _on("documents")(personal.personal_lines),
+        "p10_replaced": _on("documents")(personal.replace_personal),
     }
 
 
