@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import encode, leakage, license, overlap, packing, personal, secrets, splits, vendored
+from siltstone.llm import encode, leakage, license, overlap, packing, personal, secrets, splits, syntax, vendored
 from siltstone.session import ship, table
 
 
@@ -30,6 +30,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p1_report": _on("files", "repos", "staged_repos")(splits.split_report),
         "p2_found": _on("records", "files")(overlap.pairs_found),
         "p2_report": _on("records", "files")(overlap.overlap_report),
+        "p3_found": _on("records")(lambda r: syntax.syntax_failures(r).select("ord")),
+        "p3_rates": _on("records")(syntax.syntax_rates),
         "p4_found": _on("records")(lambda r: vendored.not_handwritten(r).select("ord").distinct()),
         "p4_report": _on("records")(vendored.handwritten_report),
         "p5_found": _on("records")(secrets.secret_lines),
