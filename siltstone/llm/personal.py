@@ -48,11 +48,14 @@ CALLING = re.compile(r"(?:2(?:[07]|[1-689]\d)|3(?:[0-469]|[578]\d)|4(?:[013-9]|2
 _U, _L = "A-ZÀ-ÖØ-ÞŁŠŽČĆŚŻŞĞİ", "a-zß-öø-ÿłšžčćńęąśżźőűěřůďťňğşı'’"
 _GIVEN = rf"[{_U}][{_L}]+(?:-[{_U}][{_L}]+)?"
 _FAMILY = rf"(?:(?:von|van|de|der|da|di|del|la|Mc|Mac|O['’])[ ]?)*[{_U}][{_L}]{{2,}}(?:-[{_U}][{_L}]+)?"
-EMAIL = re.compile(
-    r"(?<![\w.+-])[A-Za-z0-9][\w.+%-]*@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}(?![\w@:/-])"
-    r"|(?<![\w.+-])[A-Za-z0-9][\w.+%-]*\s?(?:\(at\)|\[at\]|\{at\}|<at>|\bat\b)\s?(?:[A-Za-z0-9][A-Za-z0-9-]*(?:\.|\s?(?:\(dot\)|\[dot\]|\{dot\}|<dot>|\bdot\b)\s?))+[A-Za-z]{2,}(?![\w-])",
+_LOCAL = re.compile(r"(?<![\w.+-])[A-Za-z0-9][\w.+%-]*\Z")
+_DOMAIN = re.compile(r"@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}(?![\w@:/-])")
+_WORDED_AT = re.compile(r"[(\[{<]at[)\]}>]|\bat\b[^\n]{1,60}?\bdot\b", re.I)
+WORDED = re.compile(
+    r"(?<![\w.+-])[A-Za-z0-9][\w.+%-]*\s?(?:\(at\)|\[at\]|\{at\}|<at>|\bat\b)\s?(?:[A-Za-z0-9][A-Za-z0-9-]*(?:\.|\s?(?:\(dot\)|\[dot\]|\{dot\}|<dot>|\bdot\b)\s?))+[A-Za-z]{2,}(?![\w-])",
     re.I,
 )
+LOCAL_PART = 128
 PHONE = re.compile(r"(?<![\w.+/-])(?<!\d )(?:\+\d[\d ().-]{7,18}\d|00[1-9]\d[\d ().-]{6,16}\d|\(0?\d{2,5}\)[ -]?\d[\d -]{4,10}\d|0\d{1,4}(?:[ -]\d{2,4}){2,4}|0\d{1,4}[ /-]\d{5,8}|\d{3}[-. ]\d{3}[-. ]\d{4})(?![\w-])(?!\.\d)")
 IDENTITY = re.compile(
     r"(?<![\w.-])\d{3}-\d{2}-\d{4}(?![\w-])"
@@ -69,6 +72,9 @@ _LABEL = re.compile(
     r"(?:[ -]?(?:card|number|nummer|num\.?|no\.?|nr\.?|id|n[°º]\.?))*\s*[:#=]?\s*([A-Z]{0,2}[ -]?\d[\dA-Z .-]{4,16}[\dA-Z])(?![\w])",
     re.I,
 )
+# Cheap searches that every labelled or bare number passes.
+_LABELLED = re.compile(r"[Ss][Ss][Nn]|D[Nn][Ii]|dni |N[Ii][EeFf]|NINO|nino |TIN|tin |CPF|cpf |PESEL|pesel|BSN|bsn |NSS|nss |[Pp]ass[ep]|[Pp]asap|PASSP|ausweis|Ausweis|[Ss]ocial|SOCIAL|[Ss]ozial|NI n|NI N|[Nn]ational|[Ss]teuer|[Tt]ax|[Ii]dentity|[Ii][Dd] card|[Pp]ersonal")
+_IDENTITY_HINT = re.compile(r"\d-\d\d-\d|\d[ -]\d\d[ -]?\d\d|\d{7}-?[A-Z]|\d \d{3} \d{3}")
 _NOT_ID = re.compile(r"\b(?:build|run|lot|order(?: no\.?)?|ticket|commit|job|invoice|batch|serial|seed|issue|version|range|part|sku|track)[ :#]*(?:no\.?|number|id)?[ :#]*$", re.I)
 ADDRESS = re.compile(
     rf"\b[{_U}][{_L}-]+(?:stra(?:ß|ss)e|str\.|weg|allee|gasse|platz|ring|ufer|damm|chaussee) ?\d{{1,4}} ?[a-z]?\b"
@@ -112,8 +118,22 @@ def _phone_ok(s: str) -> bool:
     return len(d) == 10 and d[0] not in "01" and d[3] not in "01"
 
 
+def _email_spans(text: str):
+    at = text.find("@")
+    while at >= 0:
+        if m := _DOMAIN.match(text, at):
+            lo = max(0, at - LOCAL_PART)
+            if left := _LOCAL.search(text[lo:at]):
+                yield lo + left.start(), m.end()
+        at = text.find("@", at + 1)
+    if _WORDED_AT.search(text):
+        for m in WORDED.finditer(text):
+            if re.search(r"[(\[{<]at[)\]}>]|\bdot\b", m.group(), re.I):
+                yield m.start(), m.end()
+
+
 def _identity_spans(text: str):
-    for m in _LABEL.finditer(text):
+    for m in _LABEL.finditer(text) if _LABELLED.search(text) else ():
         value = m.group(1)
         if sum(c.isdigit() for c in value) >= 5 and "\n" not in value:
             # the value ends where its own shape does
@@ -175,14 +195,10 @@ def entities(text: str | None) -> list[tuple[int, int, str]]:
     if not text:
         return []
     found: list[tuple[int, int, str]] = []
-    if "@" in text or "at" in text or "AT" in text:
-        for m in EMAIL.finditer(text):
-            s = m.group()
-            if "@" in s or re.search(r"[(\[{<]at[)\]}>]|\bdot\b", s, re.I):
-                if not re.match(r"git@", s) or text[m.end() : m.end() + 1] != ":":
-                    found.append((m.start(), m.end(), "email"))
+    found += [(a, b, "email") for a, b in _email_spans(text)]
     if _LONG_NUMBER.search(text):
-        found += [(a, b, "identity") for a, b in _identity_spans(text)]
+        if _LABELLED.search(text) or _IDENTITY_HINT.search(text):
+            found += [(a, b, "identity") for a, b in _identity_spans(text)]
         found += [(m.start(), m.end(), "phone") for m in PHONE.finditer(text) if "\n" not in m.group() and _phone_ok(m.group())]
     if _ADDRESS_HINT.search(text):
         found += [(m.start(), m.end(), "address") for m in ADDRESS.finditer(text)]
