@@ -1,0 +1 @@
+"""Where files come from: folders, archives, pages, datasets, stores, shards."""
