@@ -30,9 +30,9 @@ def pieces_of(texts: DataFrame, text: str = "text", order: str = "ord") -> DataF
 def pair_counts(texts: DataFrame, text: str = "text", order: str = "ord") -> DataFrame:
     """``a, b, n``: how often one byte follows another inside a pre-token."""
     p = pieces_of(texts, text, order).where(F.octet_length("piece") > 1)
-    code = F.hex(F.encode("piece", "UTF-8"))
-    byte = lambda i: F.conv(F.substring(code, 2 * i + 1, 2), 16, 10).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.octet_length("piece") - 2), lambda i: F.struct(byte(i).alias("a"), byte(i + 1).alias("b")))
+    p = p.select("n", byte_ids(F.col("piece")).alias("x"))
+    m = F.size("x") - 1
+    pairs = F.zip_with(F.slice("x", F.lit(1), m), F.slice("x", F.lit(2), m), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
     return p.select("n", F.explode(pairs).alias("ab")).groupBy("ab.a", "ab.b").agg(F.sum("n").alias("n"))
 
 
@@ -242,7 +242,7 @@ _MADE: dict[str, Bpe] = {}
 
 def byte_ids(text: Column) -> Column:
     """UTF-8 bytes as ids, all in the JVM; empty text gives an empty list."""
-    code = F.hex(F.encode(text, "UTF-8"))
     n = F.octet_length(text)
-    ids = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.conv(F.substring(code, 2 * i + 1, 2), 16, 10).cast("int"))
-    return F.when(n > 0, ids).when(n == 0, F.array().cast("array<int>"))
+    # The hex digits are the lambda's input; captured inside it they would be made anew for every byte.
+    pairs = F.regexp_extract_all(F.hex(F.encode(text, "UTF-8")), F.lit("(..)"), 1)
+    return F.when(n > 0, F.transform(pairs, lambda h: F.conv(h, 16, 10).cast("int"))).when(n == 0, F.array().cast("array<int>"))

@@ -55,7 +55,8 @@ def editing(files: DataFrame) -> DataFrame:
     f = files.where(F.col("content").isNotNull()).withColumn("_l", F.split("content", "\n"))
     f = f.withColumn("_i", F.filter(F.transform("_l", lambda x, i: F.when(F.length(_trim(x)) > 5, i)), lambda i: i.isNotNull())).where(F.size("_i") >= 4)
     f = f.withColumn("_v", F.element_at("_i", pick(F.size("_i"), F.concat("hash", F.lit("edit"))) + 1))
-    rest = F.array_join(F.filter("_l", lambda x, i: i != F.col("_v")), "\n")
+    # Slices, not a filter: an expression captured by a lambda would be computed anew for every line.
+    rest = F.array_join(F.concat(F.slice("_l", F.lit(1), F.col("_v")), F.slice("_l", F.col("_v") + 2, F.size("_l"))), "\n")
     ask = F.concat(F.lit("Restore the missing line at line "), (F.col("_v") + 1).cast("string"), F.lit(".\n\n"), rest)
     return _example(f, "editing", input=ask, target=_trim(F.element_at("_l", F.col("_v") + 1)))
 
