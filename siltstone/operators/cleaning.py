@@ -123,7 +123,9 @@ def clean(files: DataFrame, *, max_bytes: int = 1 << 20, min_bytes: int = 16, ma
     """
     raw = F.col("content").cast("string")
     size = F.octet_length("content")
-    text = F.when(is_notebook(F.col("path")), _strip_udf()(raw)).otherwise(raw) if notebooks else raw
+    # Python can't take text that is no UTF-8; such a file is dropped as encoding anyway.
+    book = F.when(is_notebook(F.col("path")) & F.is_valid_utf8(raw), raw)
+    text = F.coalesce(_strip_udf()(book), raw) if notebooks else raw
     df = files.withColumn("_text", text)
     t = F.col("_text")
     found = count_secrets(t)

@@ -41,35 +41,52 @@ def duplicate_repositories(files: DataFrame) -> DataFrame:
     return sig.join(first, "signature").select("repository", "signature", (F.col("repository") == F.col("_least")).alias("keep"))
 
 
+_GRAMS: dict[str, dict[str, int]] = {}
+_GRAM_BOUND = 500_000
+
+
+def _digest(gram: str, digest: str) -> int:
+    raw = gram.encode("utf-8", "surrogatepass")
+    return int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest() if digest == "blake2b" else hashlib.sha256(raw).digest()[:8], "big")
+
+
 def _base_hashes(text: str | None, digest: str) -> np.ndarray:
+    """64-bit hashes of the distinct 5-character shingles; blank text has none. Grams are kept per worker."""
     s = " ".join(text.split()) if text else ""
     if not s:
         return np.empty(0, dtype=np.uint64)
+    known = _GRAMS.setdefault(digest, {})
+    if len(known) > _GRAM_BOUND:
+        known.clear()
     grams = {s[i : i + SHINGLE] for i in range(max(1, len(s) - SHINGLE + 1))}
-    if digest == "blake2b":
-        return np.array([int.from_bytes(hashlib.blake2b(g.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big") for g in grams], dtype=np.uint64)
-    return np.array([int.from_bytes(hashlib.sha256(g.encode("utf-8", "surrogatepass")).digest()[:8], "big") for g in grams], dtype=np.uint64)
+    for g in grams - known.keys():
+        known[g] = _digest(g, digest)
+    return np.fromiter(map(known.__getitem__, grams), dtype=np.uint64, count=len(grams))
 
 
-def _times_mod(a: int, h: np.ndarray) -> np.ndarray:
+def _times_mod(a: np.ndarray, h: np.ndarray) -> np.ndarray:
     """``a * h mod 2^61 - 1`` for a < 2^8 and h < 2^61, in 64-bit words."""
-    low, high = np.uint64((1 << 31) - 1), h >> np.uint64(31)
-    x = np.uint64(a) * high
-    y = ((x & np.uint64((1 << 30) - 1)) << np.uint64(31)) + (x >> np.uint64(30)) + np.uint64(a) * (h & low)
+    x = a * (h >> np.uint64(31))
+    y = ((x & np.uint64((1 << 30) - 1)) << np.uint64(31)) + (x >> np.uint64(30)) + a * (h & np.uint64((1 << 31) - 1))
     y = (y & np.uint64(P)) + (y >> np.uint64(61))
     return np.where(y >= np.uint64(P), y - np.uint64(P), y)
 
 
+#: Shingles taken at once, which bounds the table of permuted hashes of a very long text.
+_STRIDE = 20_000
+
+
 def minhash(text: str | None, perms: int = 64, digest: str = "blake2b") -> list[int]:
     """Least value of ``(2 i + 1) h + i^2 + 7 mod 2^61 - 1`` over the shingles, for each i; blank: zeros."""
     h = _base_hashes(text, digest) % np.uint64(P)
     if not len(h):
         return [0] * perms
-    out = []
-    for i in range(perms):
-        v = _times_mod(2 * i + 1, h) + np.uint64(i * i + 7)
-        out.append(int(np.where(v >= np.uint64(P), v - np.uint64(P), v).min()))
-    return out
+    i = np.arange(perms, dtype=np.uint64)[:, None]
+    least = np.full(perms, P, dtype=np.uint64)
+    for at in range(0, len(h), _STRIDE):
+        v = _times_mod(2 * i + np.uint64(1), h[None, at : at + _STRIDE]) + i * i + np.uint64(7)
+        least = np.minimum(least, np.where(v >= np.uint64(P), v - np.uint64(P), v).min(axis=1))
+    return [int(x) for x in least]
 
 
 def minhash_column(text: Column, perms: int = 64, digest: str = "blake2b") -> Column:

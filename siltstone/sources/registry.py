@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.operators.ordering import global_positions
-from siltstone.schemas import SOURCE_CATEGORIES, SOURCE_KINDS, SOURCES
+from siltstone.schemas import SOURCE_CATEGORIES, SOURCE_FIELDS, SOURCE_KINDS, SOURCES
 
 TEXT_FIELDS = ("content", "code", "func_code_string", "whole_func_string", "text", "source", "body")
 PRUNED = ("node_modules", "vendor", "third_party", ".git", ".venv", "venv", "__pycache__")
@@ -50,12 +50,11 @@ class SourceList:
         return [s for s in self.sources if s.kind == kind]
 
     def to_df(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame([tuple(getattr(s, f.name) if f.name != "languages" else list(s.languages) for f in SOURCES) for s in self.sources], SOURCES)
+        return spark.createDataFrame([tuple(list(s.languages) if f == "languages" else getattr(s, f) for f in SOURCE_FIELDS) for s in self.sources], SOURCES)
 
     @classmethod
     def from_rows(cls, rows) -> SourceList:
-        known = {f.name for f in SOURCES}
-        return cls([Source(**{k: (tuple(v or ()) if k == "languages" else v) for k, v in r.items() if k in known and v is not None}) for r in rows])
+        return cls([Source(**{k: (tuple(v or ()) if k == "languages" else v) for k, v in r.items() if k in SOURCE_FIELDS and v is not None}) for r in rows])
 
 
 class SourceError(Exception):
@@ -118,8 +117,7 @@ def scan_folder(spark: SparkSession, root: str, repository: str, source: str = "
     """``repository, source, path, content, size`` of all files below ``root``; only sizes and paths are read until content is asked for."""
     base = "file:" + os.path.abspath(root).rstrip("/") + "/"
     df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    path = F.col("path")
-    return df.select(F.lit(repository).alias("repository"), F.lit(source).alias("source"), F.substring(path, len(base) + 1, 100_000).alias("path"), "content", F.col("length").alias("size"))
+    return df.select(F.lit(repository).alias("repository"), F.lit(source).alias("source"), F.substring("path", len(base) + 1, 100_000).alias("path"), "content", F.col("length").alias("size"))
 
 
 def with_ord(files: DataFrame) -> DataFrame:
