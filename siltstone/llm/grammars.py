@@ -6,7 +6,9 @@ import re
 
 from siltstone.llm.derivatives import Grammar
 
-_C_COMMENT = r"//[^\n]*|/\*[\s\S]*?\*/"
+# An open end takes the rest of the text, once, and is no valid token.
+_C_COMMENT = r"//[^\n]*|/\*[\s\S]*?(?:\*/|\Z)"
+_OPEN = (r"/\*(?!(?s:.*)\*/\Z)", "ERROR")
 _DQ = r'"(?:[^"\\\n]|\\[\s\S])*"'
 _SQ = r"'(?:[^'\\\n]|\\[\s\S])*'"
 _NUM = r"(?:0[xX][0-9a-fA-F_]+|0[bB][01_]+|0[oO]?[0-7_]+|\d[\d_]*(?:\.[\d_]*)?(?:[eE][-+]?\d[\d_]*)?|\.\d[\d_]*(?:[eE][-+]?\d+)?)"
@@ -32,7 +34,8 @@ function = [ 'async' ] 'function' [ '*' ] [ ident ] [ tparams ] '(' [ params ] '
 class = 'class' [ ident ] [ tparams ] [ 'extends' postfix ] [ implements ] '{' { ';' | member } '}' ;
 pattern = ident | array | object ;
 block = '{' stmts '}' ;
-stmts = { closed | simple ';' | ';' } [ simple ] ;
+stmts = { closed | simple ';' | ';' } [ open ] ;
+open = simple | 'if' '(' expr ')' open | 'if' '(' expr ')' sub 'else' open | 'for' [ 'await' ] '(' forhead ')' open | 'while' '(' expr ')' open ;
 sub = closed | simple ';' | ';' ;
 binop = '=' | OPASSIGN | '==' | '&&' | '||' | '??' | '|' | '&' | '^' | '+' | '-' | '*' | '/' | '%' | '**' | '<' | '>' [ '>' [ '>' ] ] [ '>=' ] | '<<' | '<=' | '>=' | 'in' | 'instanceof' ;
 closed = block | 'if' '(' expr ')' sub [ 'else' sub ] | 'for' [ 'await' ] '(' forhead ')' sub | 'while' '(' expr ')' sub | 'do' sub 'while' '(' expr ')'
@@ -47,9 +50,8 @@ module = 'import' STR | 'import' [ 'type' ] clause 'from' STR | 'export' ( varde
 clause = ident [ ',' ( named | '*' 'as' ident ) ] | named | '*' 'as' ident ;
 named = '{' [ spec { ',' spec } [ ',' ] ] '}' ;
 spec = [ 'type' ] ( anyname | STR ) [ 'as' ( anyname | STR ) ] ;
-file = { closed | simple ';' | ';' | 'export' [ 'default' ] ( function | class | morestmt ) } [ simple ] ;
+file = { closed | simple ';' | ';' | 'export' [ 'default' ] ( function | class | morestmt ) } [ open ] ;
 """
-_JS_WORDS = "async of get set from as static let yield type declare abstract readonly public private protected interface enum namespace implements keyof is infer satisfies override module".split()
 _JS_KEYS = "import export function const var for if return class this throw new await try catch null default true false while break else switch case typeof instanceof in do delete void extends super finally continue debugger".split()
 _JS_SOFT = "async of get set from as static let yield".split()
 _TS_SOFT = _JS_SOFT + "type declare abstract readonly public private protected interface enum namespace implements keyof is infer satisfies override module".split()
@@ -481,8 +483,8 @@ def _js(typed: bool) -> LineLanguage:
     keys = _JS_KEYS + soft
     g = EXPR_JS + (TS_EXTRA if typed else JS_EXTRA)
     g += f"ident = IDENT | {_soft(soft)} ; anyname = IDENT | {_soft(keys)} ;"
-    pattern = rf"\n|[A-Za-z_$][\w$]*|[ª-￿][\w$]*|{_NUM}n?[A-Za-z_$]*|{_DQ}|{_SQ}|`(?:[^`\\]|\\[\s\S])*`|{_C_COMMENT}|=>|\.\.\.|\?\.(?!\d)|\?\?=?|===?|!==?|\*\*=?|\+\+|--|&&=?|\|\|=?|<<=?|<=|>=|[-+*/%&|^]=|[^\s\w]"
-    groups = [(r"\n", "LINE"), (r"//|/\*[\s\S]", "SKIP"), (rf"(?:{'|'.join(keys)})$", None), (r"[A-Za-z_$ª-￿][\w$]*$", "IDENT"), (rf"{_NUM}n?$", "NUM"), (r"[\"'].", "STR"), (r"`[\s\S]", "TEMPLATE"), (r"(?:===?|!==?)$", "=="), (r"(?:[-+*/%&|^]|\*\*|&&|\|\||\?\?|<<)=$", "OPASSIGN")]
+    pattern = rf"\n|[A-Za-z_$][\w$]*|[ª-￿][\w$]*|{_NUM}n?[A-Za-z_$]*|{_DQ}|{_SQ}|`(?:[^`\\]|\\[\s\S])*(?:`|\Z)|{_C_COMMENT}|=>|\.\.\.|\?\.(?!\d)|\?\?=?|===?|!==?|\*\*=?|\+\+|--|&&=?|\|\|=?|<<=?|<=|>=|[-+*/%&|^]=|[^\s\w]"
+    groups = [(r"\n", "LINE"), _OPEN, (r"//|/\*[\s\S]", "SKIP"), (rf"(?:{'|'.join(keys)})$", None), (r"[A-Za-z_$ª-￿][\w$]*$", "IDENT"), (rf"{_NUM}n?$", "NUM"), (r"[\"'].", "STR"), (r"`(?!(?s:.*)`\Z)", "ERROR"), (r"`", "TEMPLATE"), (r"(?:===?|!==?)$", "=="), (r"(?:[-+*/%&|^]|\*\*|&&|\|\||\?\?|<<)=$", "OPASSIGN")]
     groups = [(p, c) for p, c in groups if c]
     lang = LineLanguage(
         g, pattern, keys, groups=groups,
@@ -496,7 +498,7 @@ def _js(typed: bool) -> LineLanguage:
 def _go() -> LineLanguage:
     keys = "package import func for if return struct map var const range type switch case default break continue goto fallthrough go defer select chan interface else".split()
     pattern = rf"\n|[A-Za-z_]\w*|[ª-￿]\w*|{_NUM}i?[A-Za-z_]*|{_DQ}|`[^`]*`|'(?:[^'\\\n]|\\[^\n]+?)'|{_C_COMMENT}|:=|\.\.\.|<-|==|!=|&\^=?|\+\+|--|&&|\|\||<<=?|>>=?|<=|>=|[-+*/%&|^]=|[^\s\w]"
-    groups = [(r"\n", "LINE"), (r"//|/\*[\s\S]", "SKIP"), (r"[A-Za-z_ª-￿]\w*$", "IDENT"), (rf"{_NUM}i?$", "NUM"), (r"[\"`][\s\S]", "STR"), (r"'.", "CHAR"), (r"(?:==|!=)$", "=="), (r"(?:[-+*/%&|^]|<<|>>|&\^)=$", "OPASSIGN"), (r"&\^$", "&")]
+    groups = [(r"\n", "LINE"), _OPEN, (r"//|/\*[\s\S]", "SKIP"), (r"[A-Za-z_ª-￿]\w*$", "IDENT"), (rf"{_NUM}i?$", "NUM"), (r"[\"`][\s\S]", "STR"), (r"'.", "CHAR"), (r"(?:==|!=)$", "=="), (r"(?:[-+*/%&|^]|<<|>>|&\^)=$", "OPASSIGN"), (r"&\^$", "&")]
     return LineLanguage(GO, pattern, keys, groups=groups, enders=["IDENT", "NUM", "STR", "CHAR", ")", "]", "}", "++", "--", "return", "break", "continue", "fallthrough"], starters=[])
 
 
@@ -504,7 +506,7 @@ def _rust() -> Language:
     keys = "use pub fn struct enum impl trait mod const static let mut if else match for in while loop return break continue self crate super where as type unsafe async await move dyn ref extern true false".split()
     pattern = rf"r#*\"[\s\S]*?\"#*|b?{_DQ[:-1]}\"|(?:b)?'(?:[^'\\\n]|\\(?:x..|u\{{[0-9a-fA-F]+\}}|.))'|'[A-Za-z_]\w*|[A-Za-z_]\w*|\d[\d_]*(?:\.\d[\d_]*(?:[eE][-+]?\d+)?|\.(?![.\w]))?[A-Za-z_]?\w*|{_C_COMMENT}|::|->|=>|\.\.=|\.\.\.|\.\.|==|!=|&&|\|\||<=|>=|<<=|[-+*/%&|^]=|[^\s\w]"
     pattern = pattern.replace(_DQ, '"(?:[^"\\\\]|\\\\[\\s\\S])*"')
-    groups = [(r"//|/\*[\s\S]", "SKIP"), (r"r#*\".|b?\".|b?\"\"", "STR"), (r"b?'(?:[^'\\\n]|\\.+)'$", "CHAR"), (r"'[A-Za-z_]\w*$", "LIFETIME"), (r"[A-Za-z_]\w*$", "IDENT"), (r"(?:0x[0-9a-fA-F_]+|0b[01_]+|0o[0-7_]+|\d[\d_]*(?:\.[\d_]*)?(?:[eE][-+]?\d+)?)(?:_?[iuf](?:8|16|32|64|128|size))?$", "NUM"), (r"(?:==|!=)$", "=="), (r"(?:[-+*/%&|^]|<<)=$", "OPASSIGN")]
+    groups = [_OPEN, (r"//|/\*[\s\S]", "SKIP"), (r"r#*\".|b?\".|b?\"\"", "STR"), (r"b?'(?:[^'\\\n]|\\.+)'$", "CHAR"), (r"'[A-Za-z_]\w*$", "LIFETIME"), (r"[A-Za-z_]\w*$", "IDENT"), (r"(?:0x[0-9a-fA-F_]+|0b[01_]+|0o[0-7_]+|\d[\d_]*(?:\.[\d_]*)?(?:[eE][-+]?\d+)?)(?:_?[iuf](?:8|16|32|64|128|size))?$", "NUM"), (r"(?:==|!=)$", "=="), (r"(?:[-+*/%&|^]|<<)=$", "OPASSIGN")]
     plain = sorted(set(re.findall(r"'([^']+)'", RUST)) - {"(", ")", "[", "]", "{", "}"})
     any_tok = "anytok = IDENT | NUM | STR | CHAR | LIFETIME | OPASSIGN | '$' | '@' | " + _soft(plain) + " ;"
     return Language(RUST + any_tok, pattern, keys, groups=groups)
@@ -513,7 +515,7 @@ def _rust() -> Language:
 def _java() -> Language:
     keys = "package import static final default synchronized class interface enum record extends implements super throws void this if else for while do return throw break continue try catch finally switch case assert new instanceof true false null".split()
     pattern = rf"[A-Za-z_$][\w$]*|[ª-￿]\w*|{_NUM}[A-Za-z_]*|\"\"\"[\s\S]*?\"\"\"|{_DQ}|'(?:[^'\\\n]|\\[^\n]+?)'|{_C_COMMENT}|::|->|\.\.\.|==|!=|\+\+|--|&&|\|\||<<=?|<=|>=|[-+*/%&|^]=|[^\s\w]"
-    groups = [(r"//|/\*[\s\S]", "SKIP"), (r"(?:public|private|protected|abstract|native|transient|volatile|strictfp|sealed)$", "MODIFIER"), (r"(?:int|long|short|byte|char|float|double|boolean)$", "PRIM"), (r"[A-Za-z_$ª-￿][\w$]*$", "IDENT"), (rf"{_NUM}[lLfFdD]?$", "NUM"), (r"\".|\"\"", "STR"), (r"'.", "CHAR"), (r"(?:==|!=)$", "=="), (r"(?:[-+*/%&|^]|<<)=$", "OPASSIGN")]
+    groups = [_OPEN, (r"//|/\*[\s\S]", "SKIP"), (r"(?:public|private|protected|abstract|native|transient|volatile|strictfp|sealed)$", "MODIFIER"), (r"(?:int|long|short|byte|char|float|double|boolean)$", "PRIM"), (r"[A-Za-z_$ª-￿][\w$]*$", "IDENT"), (rf"{_NUM}[lLfFdD]?$", "NUM"), (r"\".|\"\"", "STR"), (r"'.", "CHAR"), (r"(?:==|!=)$", "=="), (r"(?:[-+*/%&|^]|<<)=$", "OPASSIGN")]
     g = re.sub(r"\bIDENT\b", "id", JAVA) + " id = IDENT | 'record' ;"
     return Language(g, pattern, keys, groups=groups)
 
@@ -521,7 +523,7 @@ def _java() -> Language:
 def _cpp() -> Language:
     keys = "namespace using typedef template typename class struct union enum extern static const inline friend auto decltype operator noexcept default delete if else for while do return break continue goto switch case try catch throw new sizeof this true false nullptr constexpr static_assert final".split()
     pattern = rf"(?m:^[ \t]*#(?:[^\n\\]|\\\r?\n|\\.)*)|[A-Za-z_]\w*|{_NUM}(?:[uUlLfFzZ]*)(?:_?[A-Za-z]\w*)?|R\"\w*\([\s\S]*?\)\w*\"|{_DQ}|'(?:[^'\\\n]|\\[^\n]+?)'|{_C_COMMENT}|::|->|\.\.\.|<=>|==|!=|\+\+|--|&&|\|\||<<=?|<=|>=|[-+*/%&|^]=|[^\s\w]"
-    groups = [(r"//|/\*[\s\S]", "SKIP"), (r"[ \t]*#[ \t]*(?:(?:define|undef|if|ifdef|ifndef|elif|else|endif|pragma|error|warning|line)\b|include\s*(?:<[^<>\n]+>|\"[^\"\n]+\"|[A-Za-z_]\w*)\s*(?://|/\*|$))|[ \t]*#\s*$", "SKIP"), (r"(?:public|private|protected)$", "ACCESS"), (r"(?:explicit|virtual|mutable|volatile|override|register|thread_local|consteval|constinit)$", "SPEC"), (r"(?:static_cast|dynamic_cast|const_cast|reinterpret_cast)$", "CAST"),
+    groups = [_OPEN, (r"//|/\*[\s\S]", "SKIP"), (r"[ \t]*#[ \t]*(?:(?:define|undef|if|ifdef|ifndef|elif|else|endif|pragma|error|warning|line)\b|include\s*(?:<[^<>\n]+>|\"[^\"\n]+\"|[A-Za-z_]\w*)\s*(?://|/\*|$))|[ \t]*#\s*$", "SKIP"), (r"(?:public|private|protected)$", "ACCESS"), (r"(?:explicit|virtual|mutable|volatile|override|register|thread_local|consteval|constinit)$", "SPEC"), (r"(?:static_cast|dynamic_cast|const_cast|reinterpret_cast)$", "CAST"),
               (r"(?:int|long|short|char|float|double|bool|void|unsigned|signed|wchar_t|char8_t|char16_t|char32_t)$", "BUILTIN"), (r"R\"", "STR"), (r"[A-Za-z_]\w*$", "IDENT"), (rf"(?:{_NUM}|\d[\d']*)(?:[uUlLfFzZ]*)$", "NUM"), (r"\".|\"\"", "STR"), (r"'.", "CHAR"), (r"(?:==|!=)$", "=="), (r"(?:[-+*/%&|^]|<<)=$", "OPASSIGN")]
     g = CPP.replace("spec = SPEC", "spec = SPEC | 'constexpr'")
     return Language(g, pattern, keys, groups=groups)
@@ -536,8 +538,8 @@ class _Folded(Language):
 
 def _sql() -> Language:
     keys = sorted({k for k in re.findall(r"'([A-Z]+)'", SQL)})
-    pattern = r"[A-Za-z_]\w*|\d[\w.]*|'(?:[^'\\]|''|\\.)*'|\"(?:[^\"]|\"\")*\"|`[^`]*`|--[^\n]*|/\*[\s\S]*?\*/|::|<>|!=|<=|>=|\|\||[^\s\w]"
-    groups = [(r"--|/\*[\s\S]", "SKIP"), (r"[A-Za-z_]\w*$|[\"`].", "NAME"), (r"\d+(?:\.\d*)?(?:[eE][-+]?\d+)?$", "NUM"), (r"'.", "STR"), (r"(?:<>|!=|<=|>=|<|>)$", "CMP")]
+    pattern = r"[A-Za-z_]\w*|\d[\w.]*|'(?:[^'\\]|''|\\.)*'|\"(?:[^\"]|\"\")*\"|`[^`]*`|--[^\n]*|/\*[\s\S]*?(?:\*/|\Z)|::|<>|!=|<=|>=|\|\||[^\s\w]"
+    groups = [_OPEN, (r"--|/\*[\s\S]", "SKIP"), (r"[A-Za-z_]\w*$|[\"`].", "NAME"), (r"\d+(?:\.\d*)?(?:[eE][-+]?\d+)?$", "NUM"), (r"'.", "STR"), (r"(?:<>|!=|<=|>=|<|>)$", "CMP")]
     return _Folded(SQL, pattern, keys, fold=True, groups=groups)
 
 
@@ -741,9 +743,9 @@ class _Python(Language):
 def _python() -> Language:
     keys = "pass break continue return raise from assert del global nonlocal import as lambda if else and or not in is await None True False yield for async def class elif while try except finally with match case type".split()
     q = r"(?:[rRbBuUfF]{1,2})?"
-    triple = rf"{q}\"\"\"(?:[^\\]|\\[\s\S])*?\"\"\"|{q}'''(?:[^\\]|\\[\s\S])*?'''"
+    triple = rf"{q}\"\"\"(?:[^\\]|\\[\s\S])*?(?:\"\"\"|\Z)|{q}'''(?:[^\\]|\\[\s\S])*?(?:'''|\Z)"
     pattern = rf"\n[ \t\f]*|\\\r?\n|#[^\n]*|{triple}|{q}\"(?!\"\")(?:[^\"\\\n]|\\[\s\S])*\"|{q}'(?!'')(?:[^'\\\n]|\\[\s\S])*'|{_NUM}[jJ]?\w*|[A-Za-z_]\w*|[ª-￿]\w*|\.\.\.|:=|->|\*\*=?|//=?|<<=?|>>=?|==|!=|<=|>=|[-+*/%@&|^]=|[^\s\w]"
-    groups = [(r"#|\\\r?\n", "SKIP"), (r"(?:[rRbBuUfF]{1,2})?[\"'](?=.)", "STR"), (rf"(?:{_NUM})[jJ]?$", "NUM"), (r"[A-Za-z_ª-￿]\w*$", "IDENT"), (r"\.$", "DOT"), (r"(?:==|!=)$", "=="), (r"(?:[-+*/%@&|^]|\*\*|//|<<|>>)=$", "OPASSIGN")]
+    groups = [(r"#|\\\r?\n", "SKIP"), (r"(?:[rRbBuUfF]{1,2})?(?:\"\"\"(?!(?s:.*)\"\"\"\Z)|'''(?!(?s:.*)'''\Z))", "ERROR"), (r"(?:[rRbBuUfF]{1,2})?[\"'](?=.)", "STR"), (rf"(?:{_NUM})[jJ]?$", "NUM"), (r"[A-Za-z_ª-￿]\w*$", "IDENT"), (r"\.$", "DOT"), (r"(?:==|!=)$", "=="), (r"(?:[-+*/%@&|^]|\*\*|//|<<|>>)=$", "OPASSIGN")]
 
     lang = _Python(PYTHON, pattern, keys, groups=groups)
     lang.opens = frozenset(lang.grammar.token(x) for x in "([{")

@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+from bisect import bisect_right
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -152,7 +153,7 @@ def _known(g: str) -> bool:
     return all(p.lower() in GIVEN for p in g.split("-"))
 
 
-def _name_spans(text: str, family: frozenset[str] | None = None):
+def _name_spans(text: str):
     at = 0
     while m := NAME.search(text, at):
         ok = False
@@ -206,10 +207,14 @@ def entities(text: str | None) -> list[tuple[int, int, str]]:
         found += [(a, b, "name") for a, b in _name_spans(text)]
     found.sort(key=lambda e: (_RANK[e[2]], e[0], -e[1]))
     kept: list[tuple[int, int, str]] = []
-    for a, b, k in found:
-        if all(b <= x or a >= y for x, y, _ in kept):
-            kept.append((a, b, k))
-    return sorted(kept)
+    starts: list[int] = []
+    for e in found:
+        i = bisect_right(starts, e[0])
+        if (i and kept[i - 1][1] > e[0]) or (i < len(kept) and starts[i] < e[1]):
+            continue
+        starts.insert(i, e[0])
+        kept.insert(i, e)
+    return kept
 
 
 def _key(kind: str, s: str) -> str:
@@ -285,12 +290,13 @@ class Surrogates:
         if not found:
             return text, 0
         used: dict[str, tuple[str, str]] = {}
+        there = {text[a:b] for a, b, _ in found}
         out, last = [], 0
         for a, b, kind in found:
             s = text[a:b]
             me, salt = (kind, _key(kind, s)), 0
             new = self.make(kind, s)
-            while used.get(new, me) != me or (new == s and salt < 8) or (new in text and new not in used and salt < 8):
+            while used.get(new, me) != me or (new in there and salt < 8):
                 salt += 1
                 new = self.make(kind, s, salt)
             used[new] = me

@@ -13,6 +13,7 @@ text is valid wherever the language lets it be (not in JSON or Go). Texts are re
 from __future__ import annotations
 
 import json
+import sys
 import warnings
 
 import pandas as pd
@@ -26,6 +27,10 @@ from siltstone.session import spread
 CHECKED = ("python", "javascript", "typescript", "go", "rust", "java", "cpp", "bash", "sql", "json", "yaml")
 
 
+#: Depth of derivatives; a text that chains more open ends than this cannot be judged and is no case.
+RECURSION = 50_000
+
+
 def _exactly_valid(text: str, lang: str) -> bool:
     try:
         if lang == "python":
@@ -46,7 +51,12 @@ def check_syntax(text: str | None, lang: str | None) -> tuple[bool, str | None,
     if text is None or lang not in CHECKED:
         return True, None, None
     text = text.removeprefix("﻿")
-    how, at = language(lang).check(text)
+    if sys.getrecursionlimit() < RECURSION:
+        sys.setrecursionlimit(RECURSION)
+    try:
+        how, at = language(lang).check(text)
+    except RecursionError:
+        return True, None, None
     if how == "ok" or _exactly_valid(text, lang):
         return True, None, None
     return False, "truncated" if how == "end" else "token", at
