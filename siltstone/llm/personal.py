@@ -58,24 +58,22 @@ WORDED = re.compile(
 )
 LOCAL_PART = 128
 PHONE = re.compile(r"(?<![\w.+/-])(?<!\d )(?:\+\d[\d ().-]{7,18}\d|00[1-9]\d[\d ().-]{6,16}\d|\(0?\d{2,5}\)[ -]?\d[\d -]{4,10}\d|0\d{1,4}(?:[ -]\d{2,4}){2,4}|0\d{1,4}[ /-]\d{5,8}|\d{3}[-. ]\d{3}[-. ]\d{4})(?![\w-])(?!\.\d)")
-IDENTITY = re.compile(
-    r"(?<![\w.-])\d{3}-\d{2}-\d{4}(?![\w-])"
-    r"|(?<![\w.-])[0-9]{8}-?[A-HJ-NP-TV-Z](?![\w-])"
-    r"|(?<![\w.-])[XYZ]-?\d{7}-?[A-HJ-NP-TV-Z](?![\w-])"
-    r"|(?<![\w.-])[A-CEGHJ-PQR-TW-Z][A-Z] ?\d{2} ?\d{2} ?\d{2} ?[A-D](?![\w-])"
-    r"|(?<![\w.-])\d{2} \d{3} \d{3} \d{3}(?![\w-])"
-    r"|(?<![\w.-])\d{3} \d{2} \d{4}(?![\w-])"
+_IDENTITY_DIGITS = re.compile(r"(?<![\w.-])(?:\d{3}-\d{2}-\d{4}|\d{8}-?[A-HJ-NP-TV-Z]|\d{2} \d{3} \d{3} \d{3}|\d{3} \d{2} \d{4})(?![\w-])")
+_IDENTITY_LETTERS = re.compile(
+    r"\b(?<![.-])(?:[XYZ]-?\d{7}-?[A-HJ-NP-TV-Z]|[A-CEGHJ-PQR-TW-Z][A-Z] ?\d{2} ?\d{2} ?\d{2} ?[A-D])(?![\w-])"
 )
-_LABEL = re.compile(
+_SPACED = re.compile(r"\d{3} \d{2} \d{4}|\d{2} \d{3} \d{3} \d{3}")
+_LABEL_NEAR = re.compile(r"(?i)security|ssn|steuer|tax|\bid\b|number")
+# A number, letters in front of it, and the label that must stand before both.
+_NUMBER = re.compile(r"\d[\d -]{3,18}(?: ?[A-Z]\b)?")
+_PREFIX = re.compile(r"(?<![A-Za-z])[A-Z]{1,2} ?\Z")
+_LABEL_BEFORE = re.compile(
     r"(?:\b(?:SSN|DNI|NIE|NIF|NINO|TIN|CPF|PESEL|BSN|NSS|passport|passeport|reisepass|pasaporte|ausweis)\b|social security|s[eé]curit[eé] sociale|"
-    r"sozialversicherung|seguridad social|\bNI (?:number|no)|national (?:id|insurance|identity)|(?:steuer|tax)(?:[ -]?(?:id|nr|no|number|nummer|payer id))|"
+    r"sozialversicherung|seguridad social|\bNI (?:number|no)|national (?:id|insurance|identity)|(?:steuer|\btax)(?:[ -]?(?:id|nr|no|number|nummer|payer id))|"
     r"identity (?:card|number)|\bid card|personal(?:ausweis| id| number))"
-    r"(?:[ -]?(?:card|number|nummer|num\.?|no\.?|nr\.?|id|n[°º]\.?))*\s*[:#=]?\s*([A-Z]{0,2}[ -]?\d[\dA-Z .-]{4,16}[\dA-Z])(?![\w])",
+    r"(?:[ -]?(?:card|number|nummer|num\.?|no\.?|nr\.?|id|n[°º]\.?))*\s*[:#=]?\s*\Z",
     re.I,
 )
-# Cheap searches that every labelled or bare number passes.
-_LABELLED = re.compile(r"[Ss][Ss][Nn]|D[Nn][Ii]|dni |N[Ii][EeFf]|NINO|nino |TIN|tin |CPF|cpf |PESEL|pesel|BSN|bsn |NSS|nss |[Pp]ass[ep]|[Pp]asap|PASSP|ausweis|Ausweis|[Ss]ocial|SOCIAL|[Ss]ozial|NI n|NI N|[Nn]ational|[Ss]teuer|[Tt]ax|[Ii]dentity|[Ii][Dd] card|[Pp]ersonal")
-_IDENTITY_HINT = re.compile(r"\d-\d\d-\d|\d[ -]\d\d[ -]?\d\d|\d{7}-?[A-Z]|\d \d{3} \d{3}")
 _NOT_ID = re.compile(r"\b(?:build|run|lot|order(?: no\.?)?|ticket|commit|job|invoice|batch|serial|seed|issue|version|range|part|sku|track)[ :#]*(?:no\.?|number|id)?[ :#]*$", re.I)
 ADDRESS = re.compile(
     rf"\b[{_U}][{_L}-]+(?:stra(?:ß|ss)e|str\.|weg|allee|gasse|platz|ring|ufer|damm|chaussee) ?\d{{1,4}} ?[a-z]?\b"
@@ -90,9 +88,22 @@ NAME = re.compile(
     rf"|(?<![\w@.`/-])(?P<fr>{_FAMILY}), (?P<gr>{_GIVEN}|[{_U}]\.)(?: [{_U}]\.)?(?![\w(`@-])"
 )
 _GIVEN_ANY = re.compile("|".join(sorted({g[:1].upper() + g[1:] for g in GIVEN}, key=len, reverse=True)))
-_INITIAL = re.compile(rf"(?<![\w.]){'[' + _U + ']'}\. [{_U}]|[{_L}], [{_U}]\.")
+_INITIAL = re.compile(rf"[{_U}]\. [{_U}]|, [{_U}]\.")
 _DIGITS = re.compile(r"\D")
-_ADDRESS_HINT = re.compile(r"stra|str\.|weg|allee|gasse|platz|ring|ufer|damm|Stra|Str|Weg|Platz|rue|avenue|boulevard|chemin|impasse|place|quai|route|Calle|Aven|Avda|Plaza|Paseo|C/|Via|Rua|Travessa|Street|St\b|Road|Rd|Lane|Ln|Ave|Drive|Dr|Court|Ct|Boulevard|Blvd|Way|Place|Pl\b|Close|Square|Sq|Terrace|Crescent|Parkway|Hwy|Highway|Row|Hill|Gardens|Mews")
+# Cheap signs of a street: plain substrings, or a digit right after a street's ending.
+_STREET_SIGNS = (
+    "straße", "strasse", "str.", "Straße", "Strasse", "Str.", "rue ", "avenue ", "boulevard ", " bd ", "allée", "chemin ", "impasse ", "quai ", " place ", " route ", "Calle", "Avenida", "Avda", "Plaza", "Paseo", "C/", "Viale", "Via ", "Piazza", "Rua ",
+    "Travessa", "Weg ", "Allee ", "Platz ", " Street", " St.", " St,", " St ", " St\n", " Road", " Rd", " Lane", " Ln", " Avenue", " Ave", " Drive", " Dr.", " Dr,", " Dr ", " Court", " Ct", " Boulevard", " Blvd", " Way", " Place", " Pl.", " Pl,",
+    " Pl ", " Close", " Square", " Sq", " Terrace", " Crescent", " Parkway", " Pkwy", " Highway", " Hwy", " Row", " Hill", " Gardens", " Mews",
+)
+_STREET_ENDS = ("weg", "allee", "gasse", "platz", "ring", "ufer", "damm", "chaussee")
+_STREET_NUMBER = re.compile("[0-9](?:" + "|".join(f"(?<={e}{gap}[0-9])" for e in _STREET_ENDS for gap in ("", " ")) + ")")
+
+
+def _may_hold_address(text: str) -> bool:
+    return any(s in text for s in _STREET_SIGNS) or bool(_STREET_NUMBER.search(text))
+
+
 _LONG_NUMBER = re.compile(r"\d[\d ().+/A-Z-]{5,}")
 
 
@@ -134,19 +145,18 @@ def _email_spans(text: str):
 
 
 def _identity_spans(text: str):
-    for m in _LABEL.finditer(text) if _LABELLED.search(text) else ():
-        value = m.group(1)
-        if sum(c.isdigit() for c in value) >= 5 and "\n" not in value:
-            # the value ends where its own shape does
-            v = re.match(r"[A-Z]{0,2}[ -]?\d[\d -]*(?: ?[A-Z]\b)?", value)
-            if v and sum(c.isdigit() for c in v.group()) >= 5:
-                yield m.start(1), m.start(1) + len(v.group().rstrip())
-    for m in IDENTITY.finditer(text):
-        if not _NOT_ID.search(text[max(0, m.start() - 24) : m.start()]):
-            s = m.group()
-            if re.fullmatch(r"\d{3} \d{2} \d{4}|\d{2} \d{3} \d{3} \d{3}", s) and not re.search(r"(?i)security|ssn|steuer|tax|\bid\b|number", text[max(0, m.start() - 30) : m.start()]):
-                continue
-            yield m.start(), m.end()
+    for m in _NUMBER.finditer(text):
+        lo = m.start()
+        if left := _PREFIX.search(text[max(0, lo - 4) : lo]):
+            lo = max(0, lo - 4) + left.start()
+        if sum(map(str.isdigit, m.group())) >= 5 and _LABEL_BEFORE.search(text[max(0, lo - 64) : lo]):
+            yield lo, lo + len(text[lo : m.end()].rstrip(" -"))
+    for pattern in (_IDENTITY_DIGITS, _IDENTITY_LETTERS):
+        for m in pattern.finditer(text):
+            if not _NOT_ID.search(text[max(0, m.start() - 24) : m.start()]):
+                if _SPACED.fullmatch(m.group()) and not _LABEL_NEAR.search(text[max(0, m.start() - 30) : m.start()]):
+                    continue
+                yield m.start(), m.end()
 
 
 def _known(g: str) -> bool:
@@ -198,10 +208,9 @@ def entities(text: str | None) -> list[tuple[int, int, str]]:
     found: list[tuple[int, int, str]] = []
     found += [(a, b, "email") for a, b in _email_spans(text)]
     if _LONG_NUMBER.search(text):
-        if _LABELLED.search(text) or _IDENTITY_HINT.search(text):
-            found += [(a, b, "identity") for a, b in _identity_spans(text)]
+        found += [(a, b, "identity") for a, b in _identity_spans(text)]
         found += [(m.start(), m.end(), "phone") for m in PHONE.finditer(text) if "\n" not in m.group() and _phone_ok(m.group())]
-    if _ADDRESS_HINT.search(text):
+    if _may_hold_address(text):
         found += [(m.start(), m.end(), "address") for m in ADDRESS.finditer(text)]
     if _GIVEN_ANY.search(text) or _INITIAL.search(text):
         found += [(a, b, "name") for a, b in _name_spans(text)]
