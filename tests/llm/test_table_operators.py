@@ -243,3 +243,16 @@ def test_queries(spark, name):
         assert df.select([F.col(c).cast("string") for c in df.columns]).distinct().count() == df.count() > 0
     else:
         assert df.count() >= 0
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
+@pytest.mark.parametrize("name", sorted(Q.oracle_sql()))
+def test_query_equals_sql(spark, name):
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    for f in os.listdir(SF):
+        con.execute(f"create view {f[:-8]} as select * from '{SF}/{f}'")
+    df = Q.queries()[name](spark, SF)
+    cur = con.execute(Q.oracle_sql()[name])
+    names = [c[0] for c in cur.description]
+    assert sorted(tuple(r[c] for c in names) for r in df.collect()) == sorted(cur.fetchall()) and set(names) == set(df.columns)
