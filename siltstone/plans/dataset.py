@@ -119,3 +119,22 @@ def verify_lock(lock: dict, config: DatasetConfig, tokenizer: bpe.Bpe | None) ->
     bad = [k for k, v in (("tokenizer_hash", tokenizer_hash(tokenizer)), ("seed", config.seed), ("rds_version", config.rds_version)) if lock.get(k) != v]
     snap = lock.get("config", {})
     return bad + [f"config.{k}" for k in ("seq_len", "vocab_size", "overlap", "add_bos", "add_eos") if snap.get(k) != getattr(config, k)]
+
+
+def export_by_split(files: DataFrame, folder: str, config: DatasetConfig, tokenizer: bpe.Bpe | None = None, splits=("train", "validation", "test")) -> dict[str, dict]:
+    """Shards of each split of kept corpus files, without a raw tree in between; empty splits are left out."""
+    out = {}
+    kept = files.where((F.coalesce("drop_reason", F.lit("")) == "") & F.col("content").isNotNull())
+    for split in splits:
+        raw = kept.where(F.col("split") == split).select("ord", F.col("repository").alias("repo"), "path", F.col("content").cast("binary").alias("content"))
+        try:
+            out[split] = write(build(raw, config, tokenizer), os.path.join(folder, split), config, tokenizer)
+        except EmptyDatasetError:
+            continue
+    return out
+
+
+def experiment_metadata(run_name: str, manifest: dict, *, seed: int, model_version: str = "") -> dict:
+    """What a training run has to note to find its data again."""
+    lock = manifest.get("lock", {})
+    return {"run_name": run_name, "model_version": model_version, "seed": seed, **{k: lock.get(k) for k in ("tokenizer_hash", "dataset_version", "rds_version")}}

@@ -59,9 +59,22 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _TABLES.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_TABLES: list[str] = []
+
+
+def clean_scratch(spark: SparkSession) -> int:
+    """Delete the scratch tables that this process wrote; results that still read them become unusable."""
+    jvm, n = spark._jvm, len(_TABLES)
+    while _TABLES:
+        path = jvm.org.apache.hadoop.fs.Path(_TABLES.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     scratch_dir(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -57,6 +57,26 @@ class SourceList:
         return cls([Source(**{k: (tuple(v or ()) if k == "languages" else v) for k, v in r.items() if k in SOURCE_FIELDS and v is not None}) for r in rows])
 
 
+# The starting catalogue (id, kind, location, licence hint, language, category, enabled).
+CATALOGUE = """
+gh:pallets/click                        github       pallets/click                            BSD-3-Clause  python      code      yes
+gh:psf/requests                         github       psf/requests                             Apache-2.0    python      code      yes
+gh:expressjs/express                    github       expressjs/express                        MIT           javascript  code      yes
+gh:microsoft/TypeScript-Node-Starter    github       microsoft/TypeScript-Node-Starter        MIT           typescript  examples  yes
+gh:BurntSushi/ripgrep                   github       BurntSushi/ripgrep                       MIT           rust        code      yes
+gh:spf13/cobra                          github       spf13/cobra                              Apache-2.0    go          code      yes
+gh:google/googletest                    github       google/googletest                        BSD-3-Clause  cpp         tests     yes
+gh:google/gson                          github       google/gson                              Apache-2.0    java        code      yes
+hf:code-search-net-python               huggingface  code_search_net                          MIT           python      code      no
+docs:python-tutorial                    http         https://docs.python.org/3/tutorial/      Python-2.0    markdown    tutorial  no
+"""
+
+
+def default_sources() -> SourceList:
+    rows = (line.split() for line in CATALOGUE.strip().splitlines())
+    return SourceList([Source(i, k, at, lic, (lang,), cat, enabled=on == "yes") for i, k, at, lic, lang, cat, on in rows])
+
+
 class SourceError(Exception):
     """A source that can't be staged; ingestion goes on with the others."""
 

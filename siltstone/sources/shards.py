@@ -177,3 +177,16 @@ def verify_shards(spark: SparkSession, folder: str) -> DataFrame:
     footer = F.expr("hex(substring(content, length - 35, 32))")
     df = spark.read.format("binaryFile").load(os.path.join(folder, "*.rds"))
     return df.select(F.element_at(F.split("path", "/"), -1).alias("file"), (F.upper(F.sha2(body, 256)) == footer).alias("ok"))
+
+
+def chunk_at(dataset: DataFrame, idx: int) -> DataFrame:
+    """The chunk of one index; negative ones count from the end. A filter, not a seek."""
+    if idx >= 0:
+        return dataset.where(F.col("idx") == idx)
+    last = dataset.agg(F.max("idx").alias("last"))
+    return dataset.join(last, dataset["idx"] == last["last"] + 1 + idx).drop("last")
+
+
+def read_manifest(folder: str) -> dict:
+    with open(os.path.join(folder, "manifest.json"), encoding="utf-8") as f:
+        return json.load(f)

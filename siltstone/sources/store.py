@@ -77,3 +77,17 @@ def write_raw(files: DataFrame, folder: str, by_split: bool = True) -> int:
 
     df = kept(files).where("content IS NOT NULL").select("split", "repository", "path", "content")
     return df.mapInPandas(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+TRAIN_LOG = "step long, kind string, loss double, val_loss double, lr double, tokens_per_second double"
+
+
+def read_train_log(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of the ``eval`` kind, and all others."""
+    log = spark.read.schema(TRAIN_LOG).json(path)
+    is_eval = F.coalesce("kind", F.lit("")) == "eval"
+    return log.where(is_eval), log.where(~is_eval)
+
+
+def best_perplexity(evals: DataFrame) -> DataFrame:
+    return evals.agg(F.exp(F.least(F.min("val_loss"), F.lit(20.0))).alias("best_perplexity"))

@@ -148,6 +148,23 @@ def test_text_sources(spark, tmp_path):
     assert [r.text for r in registry.text_files(spark, str(tmp_path / "*.txt")).collect()] == ["text"]
 
 
+def test_train_log_and_catalogue(spark, tmp_path):
+    (tmp_path / "log.jsonl").write_text('{"step": 1, "kind": "train", "loss": 2.0}\n{"step": 2, "kind": "eval", "val_loss": 1.0}\n{"step": 3, "kind": "eval", "val_loss": 0.5}\n{"step": 4, "loss": 1.0}\n')
+    evals, rest = store.read_train_log(spark, str(tmp_path / "log.jsonl"))
+    assert evals.count() == 2 and rest.count() == 2 and abs(store.best_perplexity(evals).first()[0] - 1.6487212707) < 1e-9
+    found = registry.default_sources()
+    assert len(found.sources) == 10 and len(found.enabled()) == 8 and found.to_df(spark).count() == 10
+    assert dataset.experiment_metadata("r", {"lock": {"tokenizer_hash": "h"}}, seed=3)["tokenizer_hash"] == "h"
+
+
+def test_scratch_tables_can_be_deleted(spark):
+    from siltstone.session import clean_scratch, materialize
+
+    df = materialize(spark.range(3), "gone")
+    path = df.inputFiles()[0].removeprefix("file://")
+    assert os.path.exists(path) and clean_scratch(spark) >= 1 and not os.path.exists(path)
+
+
 def test_file_quality(spark):
     rows = [(MOD, "python", True, True), ("", "python", False, False), ("x" * 200 + "\n", "text", False, False)]
     got = quality.file_quality(spark.createDataFrame(rows, "text string, language string, has_readme boolean, has_license boolean")).collect()
@@ -187,5 +204,11 @@ def test_command_line(spark, tree, tmp_path, monkeypatch):
     assert json.load(open(tmp_path / "c/report.json"))["dataset_size"]["files"] > 0
     assert cli.main(["dataset-build", tree, str(tmp_path / "d"), "--seq-len", "64", "--vocab-size", "259"]) == 0
     assert cli.main(["dataset-verify", str(tmp_path / "d")]) == 0
+    for how in ("raw", "jsonl", "parquet", "rds"):
+        assert cli.main(["corpus-export", str(tmp_path / "c"), str(tmp_path / ("x" + how)), "--format", how, "--seq-len", "64", "--vocab-size", "259"]) == 0
+    assert cli.main(["corpus-stats", str(tmp_path / "c")]) == 0 and cli.main(["corpus-score", tree, str(tmp_path / "s"), "--json"]) == 0 and cli.main(["corpus-clean", tree, str(tmp_path / "k")]) == 0
+    assert cli.main(["dataset-show", str(tmp_path / "d"), "--stats"]) == 0 and cli.main(["dataset-show", str(tmp_path / "d"), "--chunk", "-1"]) == 0 and cli.main(["dataset-show", str(tmp_path / "d"), "--chunk", "99999"]) == 1
+    (tmp_path / "src.json").write_text(json.dumps([{"id": "a", "kind": "local", "location": tree}, {"id": "b", "kind": "local", "location": tree + "/none"}]))
+    assert cli.main(["corpus-download", str(tmp_path / "src.json"), str(tmp_path / "st")]) == 0
     write(str(tmp_path / "e"), {"r/x.bin": b"\0"})
     assert cli.main(["dataset-build", str(tmp_path / "e"), str(tmp_path / "f")]) == 2
