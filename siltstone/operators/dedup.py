@@ -41,26 +41,32 @@ def duplicate_repositories(files: DataFrame) -> DataFrame:
     return sig.join(first, "signature").select("repository", "signature", (F.col("repository") == F.col("_least")).alias("keep"))
 
 
-_GRAMS: dict[str, dict[str, int]] = {}
-_GRAM_BOUND = 500_000
+class _Grams(dict):
+    """Shingle -> 64-bit hash, kept per worker and emptied at a bound."""
+
+    def __init__(self, digest: str):
+        super().__init__()
+        self.blake = digest == "blake2b"
 
+    def __missing__(self, gram: str) -> int:
+        raw = gram.encode("utf-8", "surrogatepass")
+        h = self[gram] = int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest() if self.blake else hashlib.sha256(raw).digest()[:8], "big")
+        return h
 
-def _digest(gram: str, digest: str) -> int:
-    raw = gram.encode("utf-8", "surrogatepass")
-    return int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest() if digest == "blake2b" else hashlib.sha256(raw).digest()[:8], "big")
+
+_GRAMS: dict[str, _Grams] = {}
+_GRAM_BOUND = 500_000
 
 
 def _base_hashes(text: str | None, digest: str) -> np.ndarray:
-    """64-bit hashes of the distinct 5-character shingles; blank text has none. Grams are kept per worker."""
+    """64-bit hashes of the distinct 5-character shingles; blank text has none."""
     s = " ".join(text.split()) if text else ""
     if not s:
         return np.empty(0, dtype=np.uint64)
-    known = _GRAMS.setdefault(digest, {})
+    known = _GRAMS.setdefault(digest, _Grams(digest))
     if len(known) > _GRAM_BOUND:
         known.clear()
     grams = {s[i : i + SHINGLE] for i in range(max(1, len(s) - SHINGLE + 1))}
-    for g in grams - known.keys():
-        known[g] = _digest(g, digest)
     return np.fromiter(map(known.__getitem__, grams), dtype=np.uint64, count=len(grams))
 
 

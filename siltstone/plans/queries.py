@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.config import ALLOWED_LICENSES, LANGUAGE_RATIOS, TASK_RATIOS, normalize
+from siltstone.config import ALLOWED_LICENSES, TASK_RATIOS
 from siltstone.functions import bpe, languages
 from siltstone.operators import chunking, cleaning, dedup, licensing, ordering, quality, splitting, tasks
 from siltstone.session import ship, table
@@ -74,7 +74,7 @@ def exact_dedup(spark, sf_dir):
     return dedup.mark_first_wins(corpus(spark, sf_dir).select("ord", "hash"), "hash").select("ord", "duplicate")
 
 
-_PRINTABLE = "length(list_filter(regexp_extract_all(substring(hex(encode(content)), 1, 8192), '..'), lambda x: (x >= '20' AND x <= '7E') OR x IN ('08', '09', '0A', '0C', '0D')))"
+_PRINTABLE = "len(list_filter(regexp_extract_all(substring(hex(encode(content)), 1, 8192), '..'), lambda x: (x >= '20' AND x <= '7E') OR x IN ('08', '09', '0A', '0C', '0D')))"
 _VENDOR = ", ".join(f"'{s}'" for s in cleaning.VENDOR_SEGMENTS)
 _GENERATED = " OR ".join(f"contains(lower(substring(content, 1, 2000)), '{m}')" for m in cleaning.GENERATED_MARKERS)
 _LONGEST = "list_max(list_transform(string_split(content, chr(10)), lambda x: length(x)))"
@@ -475,7 +475,7 @@ def holdout_split(spark, sf_dir):
     return splitting.holdout(table(spark, sf_dir, "chunks").select(F.col("chunk_id").alias("idx")), 0.02)
 
 
-@query("SELECT doc_id, length(encode(text)) AS n, CAST(CASE WHEN text <> '' THEN list_sum(list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: ('0x' || x)::INT)) ELSE 0 END AS BIGINT) AS total FROM documents WHERE text IS NOT NULL".replace("length(encode(text))", "CAST(strlen(text) AS INT)"))
+@query("SELECT doc_id, CAST(strlen(text) AS INT) AS n, CAST(CASE WHEN text <> '' THEN list_sum(list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: ('0x' || x)::INT)) ELSE 0 END AS BIGINT) AS total FROM documents WHERE text IS NOT NULL")
 def byte_tokenize(spark, sf_dir):
     d = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", bpe.byte_ids(F.col("text")).alias("x"))
     return d.select("doc_id", F.size("x").alias("n"), F.aggregate("x", F.lit(0).cast("long"), lambda a, v: a + v).alias("total"))
@@ -535,6 +535,28 @@ def dataset_stats(spark, sf_dir):
     return chunking.dataset_stats(r).drop("avg_imports")
 
 
+@query("SELECT DISTINCT user_id, event_type FROM events")
+def stream_dedup(spark, sf_dir):
+    """The events as a stream, its first row of each user and type, written by micro-batch."""
+    import uuid
+
+    from siltstone.session import scratch_dir
+    from siltstone.streaming import stateful
+
+    path = f"{sf_dir}/events.parquet"
+    # As a pattern, so that the table may be one file or a folder of files.
+    events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path[:-1] + "[t]").select("user_id", "event_type")
+    out = f"{scratch_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    stateful.write_batches(stateful.dedup_stream(events, ["user_id", "event_type"]), f"{out}/rows", f"{out}/state").awaitTermination()
+    return spark.read.parquet(f"{out}/rows").select("user_id", "event_type")
+
+
+@query("SELECT event_type, count(*) AS n, round(sum(value), 2) AS total, count(DISTINCT user_id) AS users FROM events GROUP BY event_type")
+def event_summary(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"), F.count_distinct("user_id").alias("users"))
+
+
 @query()
 def corpus_build(spark, sf_dir):
     """The whole corpus pipeline over the corpus: how many files each stage lets go."""
