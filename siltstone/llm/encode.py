@@ -112,7 +112,7 @@ def _encoder(key: str, model, n: int, pattern: str) -> PieceEncoder:
 
 
 def tokenizer_path(path: str | None = None) -> str:
-    path = path or os.environ.get("BYTE_BPE_PATH") or DEFAULT_PATH
+    path = path or DEFAULT_PATH
     if not os.path.exists(path):
         raise FileNotFoundError(f"no tokenizer vocabulary at {path}; pass its path")
     return path

@@ -46,7 +46,7 @@ GIVEN = FEMALE | MALE
 # Country calling codes of two and three digits, by pattern.
 CALLING = re.compile(r"(?:2(?:[07]|[1-689]\d)|3(?:[0-469]|[578]\d)|4(?:[013-9]|2\d)|5(?:[1-8]|[09]\d)|6(?:[0-6]|[789]\d)|8(?:[1246]|[058]\d|7\d)|9(?:[0-58]|[679]\d))$")
 
-_U, _L = "A-ZÀ-ÖØ-ÞŁŠŽČĆŚŻŞĞİ", "a-zß-öø-ÿłšžčćńęąśżźőűěřůďťňğşı'’"
+_U, _L = "A-ZÀ-ÖØ-ÞĀ-ſ", "a-zß-öø-ÿĀ-ſ'’"
 _GIVEN = rf"[{_U}][{_L}]+(?:-[{_U}][{_L}]+)?"
 _FAMILY = rf"(?:(?:von|van|de|der|da|di|del|la|Mc|Mac|O['’])[ ]?)*[{_U}][{_L}]{{2,}}(?:-[{_U}][{_L}]+)?"
 _LOCAL = re.compile(r"(?<![\w.+-])[A-Za-z0-9][\w.+%-]*\Z")
@@ -57,7 +57,7 @@ WORDED = re.compile(
     re.I,
 )
 LOCAL_PART = 128
-PHONE = re.compile(r"(?<![\w.+/-])(?<!\d )(?:\+\d[\d ().-]{7,18}\d|00[1-9]\d[\d ().-]{6,16}\d|\(0?\d{2,5}\)[ -]?\d[\d -]{4,10}\d|0\d{1,4}(?:[ -]\d{2,4}){2,4}|0\d{1,4}[ /-]\d{5,8}|\d{3}[-. ]\d{3}[-. ]\d{4})(?![\w-])(?!\.\d)")
+PHONE = re.compile(r"(?<![\w.+/-])(?<!\d )(?:\+\d[\d ().-]{7,18}\d|00[1-9]\d[\d ().-]{6,16}\d|\(0?\d{2,5}\)[ -]?\d[\d -]{4,10}\d|0\d{1,4}(?:[ -]\d{2,4}){2,4}|0\d{1,4}[ /-]\d{5,8}|(?:1[-. ])?\d{3}[-. ]\d{3}[-. ]\d{4})(?![\w-])(?!\.\d)")
 _IDENTITY_DIGITS = re.compile(r"(?<![\w.-])(?:\d{3}-\d{2}-\d{4}|\d{8}-?[A-HJ-NP-TV-Z]|\d{2} \d{3} \d{3} \d{3}|\d{3} \d{2} \d{4})(?![\w-])")
 _IDENTITY_LETTERS = re.compile(
     r"\b(?<![.-])(?:[XYZ]-?\d{7}-?[A-HJ-NP-TV-Z]|[A-CEGHJ-PQR-TW-Z][A-Z] ?\d{2} ?\d{2} ?\d{2} ?[A-D])(?![\w-])"
@@ -127,6 +127,7 @@ def _phone_ok(s: str) -> bool:
         return 10 <= len(d) <= 15
     if s.startswith("0"):
         return 9 <= len(d) <= 12
+    d = d[1:] if len(d) == 11 and d[0] == "1" else d
     return len(d) == 10 and d[0] not in "01" and d[3] not in "01"
 
 
