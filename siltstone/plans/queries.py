@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from siltstone.config import ALLOWED_LICENSES, TASK_RATIOS
 from siltstone.functions import bpe, languages
 from siltstone.operators import chunking, cleaning, dedup, licensing, ordering, quality, splitting, tasks
-from siltstone.session import ship, table
+from siltstone.session import ship, spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -35,7 +35,7 @@ def query(sql: str | None = None):
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The files of the corpus with their text, as the operators expect them."""
-    r = table(spark, sf_dir, "records").select("ord", "path", F.col("text").alias("content")).where("content IS NOT NULL")
+    r = spread(table(spark, sf_dir, "records").select("ord", "path", F.col("text").alias("content")).where("content IS NOT NULL"))
     word = lambda c, d: F.coalesce(F.nullif(F.lower(F.trim(c)), F.lit("")), F.lit(d))
     f = table(spark, sf_dir, "files").select(
         "ord",
@@ -477,21 +477,21 @@ def holdout_split(spark, sf_dir):
 
 @query("SELECT doc_id, CAST(strlen(text) AS INT) AS n, CAST(CASE WHEN text <> '' THEN list_sum(list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: ('0x' || x)::INT)) ELSE 0 END AS BIGINT) AS total FROM documents WHERE text IS NOT NULL")
 def byte_tokenize(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", bpe.byte_ids(F.col("text")).alias("x"))
+    d = spread(table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", "text")).select("doc_id", bpe.byte_ids(F.col("text")).alias("x"))
     return d.select("doc_id", F.size("x").alias("n"), F.aggregate("x", F.lit(0).cast("long"), lambda a, v: a + v).alias("total"))
 
 
 @query()
 def bpe_pairs_top(spark, sf_dir):
     """The hundred most frequent byte pairs; RE2 has no look-ahead for the pre-token pattern."""
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"), "text")
+    d = spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"), "text"))
     return bpe.pair_counts(d).orderBy(F.desc("n"), "a", "b").limit(100)
 
 
 @query()
 def bpe_train_encode(spark, sf_dir):
     """A tokenizer of 400 ids trained on all documents, and the length of each document in its ids."""
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"), "text").where("text IS NOT NULL")
+    d = spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"), "text")).where("text IS NOT NULL")
     t = bpe.train(d, 400, specials=("<|endoftext|>",))
     return d.select(F.col("ord").alias("doc_id"), F.size(bpe.encode_column(t, d)).alias("n_ids"))
 
