@@ -58,32 +58,24 @@ def content_keys(records: DataFrame, files: DataFrame, languages=LANGUAGES, min_
 
 
 def _sketch(sets: DataFrame, bits: int) -> np.ndarray:
-    """Saturating counts by cell of the numbers in the lists ``s``; its size is fixed."""
-    size, parts = 1 << bits, SKETCH_PARTS
-    step = size // parts
-
-    def count(batches):
-        total = np.zeros(size, dtype=np.uint32)
-        for pdf in batches:
-            if len(pdf):
-                flat = np.concatenate([np.asarray(s, dtype=np.int64) for s in pdf["s"]]).view(np.uint64)
-                np.add.at(total, (flat & np.uint64(size - 1)).astype(np.int64), 1)
-        total = np.minimum(total, 255).astype(np.uint8)
-        for i in range(parts):
-            piece = total[i * step : (i + 1) * step]
-            if piece.any():
-                yield pd.DataFrame({"part": [i], "counts": [piece.tobytes()]})
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(step, dtype=np.uint8)
-        for b in pdf["counts"]:
-            other = np.frombuffer(b, dtype=np.uint8)
-            total = np.where(other > 255 - total, 255, total + other).astype(np.uint8)
-        return pd.DataFrame({"part": [pdf["part"].iloc[0]], "counts": [total.tobytes()]})
+    """Saturating counts by cell of the numbers in the lists ``s``; its size is fixed.
+
+    Counts by cell combine before the shuffle and are never more than the cells; each part of the
+    table, of at most ``2^bits / SKETCH_PARTS`` cells, is packed by one task, whatever the input.
+    """
+    size = 1 << bits
+    step = size // SKETCH_PARTS
+    cell = F.col("h").bitwiseAND(F.lit(size - 1))
+    counts = sets.select(F.explode("s").alias("h")).select(cell.alias("cell")).groupBy("cell").agg(F.least(F.count(F.lit(1)), F.lit(255)).cast("int").alias("n"))
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        part = int(pdf["cell"].iloc[0]) // step
+        cells = np.zeros(step, dtype=np.uint8)
+        cells[pdf["cell"].to_numpy() - part * step] = pdf["n"].to_numpy()
+        return pd.DataFrame({"part": [part], "counts": [cells.tobytes()]})
 
     out = np.zeros(size, dtype=np.uint8)
-    merged = sets.select("s").mapInPandas(count, "part int, counts binary").groupBy("part").applyInPandas(merge, "part int, counts binary")
-    for r in merged.collect():
+    for r in counts.groupBy(F.floor(F.col("cell") / step)).applyInPandas(pack, "part int, counts binary").collect():
         out[r["part"] * step : (r["part"] + 1) * step] = np.frombuffer(r["counts"], dtype=np.uint8)
     return out
 
