@@ -27,33 +27,50 @@ HEADER, HEADER_SIZE = "<4sHHIIBBIQQQQ", 64
 INDEX = "<QI"
 
 
-def write_shard(path: str, chunks: list[tuple[np.ndarray, dict]], *, seq_len: int, vocab_size: int, version: int = 1, tokenizer_version: int = 1) -> dict:
-    """Write one shard; returns its file name, chunks, ids and checksum."""
-    wide = vocab_size > 65536
-    kind = np.dtype("<u4") if wide else np.dtype("<u2")
-    index, meta, at = [], [], HEADER_SIZE
-    os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
-    digest = hashlib.sha256()
-    blobs = []
-    for ids, m in chunks:
+class ShardWriter:
+    """A shard written as its chunks come; only the index and the meta are held in memory."""
+
+    def __init__(self, path: str, *, seq_len: int, vocab_size: int, version: int = 1, tokenizer_version: int = 1):
+        self.path, self.head = path, (version, tokenizer_version, vocab_size, seq_len)
+        self.kind = np.dtype("<u4") if vocab_size > 65536 else np.dtype("<u2")
+        self.index, self.meta, self.at = [], [], HEADER_SIZE
+        os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
+        self.file = open(path, "wb+")
+        self.file.write(b"\0" * HEADER_SIZE)
+
+    def add(self, ids, meta: dict) -> None:
         ids = np.asarray(ids, dtype=np.int64)
-        if len(ids) and (ids.min() < 0 or ids.max() > np.iinfo(kind).max):
+        if len(ids) and (ids.min() < 0 or ids.max() > np.iinfo(self.kind).max):
             raise ValueError("an id does not fit the shard's width")
-        blobs.append(ids.astype(kind).tobytes())
-        index.append(struct.pack(INDEX, at, len(ids)))
-        at += len(blobs[-1])
-        meta.append(m)
-    words = json.dumps(meta, ensure_ascii=False).encode()
-    index_at = at
-    meta_at = index_at + sum(map(len, index))
-    footer_at = meta_at + 8 + len(words)
-    head = struct.pack(HEADER, MAGIC, version, tokenizer_version, vocab_size, seq_len, int(wide), 0, len(index), HEADER_SIZE, index_at, meta_at, footer_at).ljust(HEADER_SIZE, b"\0")
-    with open(path, "wb") as f:
-        for b in [head, *blobs, *index, struct.pack("<Q", len(words)), words]:
-            digest.update(b)
-            f.write(b)
-        f.write(digest.digest() + FOOTER)
-    return {"file": os.path.basename(path), "chunks": len(index), "tokens": sum(len(b) for b in blobs) // kind.itemsize, "sha256": digest.hexdigest()}
+        self.index.append(struct.pack(INDEX, self.at, len(ids)))
+        self.meta.append(meta)
+        self.at += self.file.write(ids.astype(self.kind).tobytes())
+
+    def close(self) -> dict:
+        """Index, meta, header and checksum; returns file name, chunks, ids and checksum."""
+        words = json.dumps(self.meta, ensure_ascii=False).encode()
+        table = b"".join(self.index)
+        meta_at = self.at + len(table)
+        footer_at = meta_at + 8 + len(words)
+        version, tokenizer_version, vocab_size, seq_len = self.head
+        head = struct.pack(HEADER, MAGIC, version, tokenizer_version, vocab_size, seq_len, int(self.kind.itemsize == 4), 0, len(self.index), HEADER_SIZE, self.at, meta_at, footer_at)
+        self.file.write(table + struct.pack("<Q", len(words)) + words)
+        self.file.seek(0)
+        self.file.write(head.ljust(HEADER_SIZE, b"\0"))
+        self.file.seek(0)
+        digest = hashlib.sha256()
+        while block := self.file.read(1 << 20):
+            digest.update(block)
+        self.file.write(digest.digest() + FOOTER)
+        self.file.close()
+        return {"file": os.path.basename(self.path), "chunks": len(self.index), "tokens": (self.at - HEADER_SIZE) // self.kind.itemsize, "sha256": digest.hexdigest()}
+
+
+def write_shard(path: str, chunks: list[tuple[np.ndarray, dict]], **head) -> dict:
+    w = ShardWriter(path, **head)
+    for ids, m in chunks:
+        w.add(ids, m)
+    return w.close()
 
 
 class Shard:
@@ -141,22 +158,36 @@ def read_shards(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def write_shards(chunks: DataFrame, folder: str, *, seq_len: int, vocab_size: int, shard_max_bytes: int = 1 << 30, tokenizer_version: int = 1, meta: str | None = None) -> DataFrame:
-    """Write ``chunks(chunk_id, token_ids)`` as shards below a shared folder, one task per shard.
+    """Write ``chunks(chunk_id, token_ids)`` as shards below a shared folder, a shard within one task.
 
-    Returns ``file, chunks, tokens, sha256, ok`` by shard; ``ok`` is the check of the file read back.
+    The rows of a shard come sorted and are written as they come, so a task holds a batch of chunks
+    and not the shard. Returns ``file, chunks, tokens, sha256, ok`` by shard; ``ok`` is the check of
+    the file read back. A task that is run again writes its files anew.
     """
     itemsize = 2 if vocab_size <= 65536 else 4
     ranked = global_positions(chunks, [F.col("chunk_id")])
     ranked = ranked.withColumn("shard_id", shard_of(F.col("pos"), seq_len=seq_len, itemsize=itemsize, shard_max_bytes=shard_max_bytes))
     ranked = ranked.select("shard_id", "pos", "token_ids", (F.to_json(meta) if meta else F.lit("{}")).alias("meta"))
 
-    def write(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        path = os.path.join(folder, f"shard_{int(pdf['shard_id'].iloc[0]):05d}.rds")
-        row = write_shard(path, [(t, json.loads(m)) for t, m in zip(pdf["token_ids"], pdf["meta"], strict=True)], seq_len=seq_len, vocab_size=vocab_size, tokenizer_version=tokenizer_version)
-        return pd.DataFrame([row | {"ok": Shard(path).verify()}])
-
-    return ranked.groupBy("shard_id").applyInPandas(write, "file string, chunks long, tokens long, sha256 string, ok boolean")
+    def write(batches):
+        shard, w, rows = None, None, []
+
+        def done():
+            return w.close() | {"ok": Shard(w.path).verify()}
+
+        for pdf in batches:
+            for i, ids, m in zip(pdf["shard_id"], pdf["token_ids"], pdf["meta"], strict=True):
+                if i != shard:
+                    if w:
+                        rows.append(done())
+                    shard = i
+                    w = ShardWriter(os.path.join(folder, f"shard_{int(i):05d}.rds"), seq_len=seq_len, vocab_size=vocab_size, tokenizer_version=tokenizer_version)
+                w.add(ids, json.loads(m))
+        if w:
+            rows.append(done())
+        yield pd.DataFrame(rows, columns=["file", "chunks", "tokens", "sha256", "ok"])
+
+    return ranked.repartition("shard_id").sortWithinPartitions("shard_id", "pos").mapInPandas(write, "file string, chunks long, tokens long, sha256 string, ok boolean")
 
 
 def manifest(shards: DataFrame, folder: str, *, seq_len: int, vocab_size: int, tokenizer_version: int = 1, stats: dict | None = None, lock: dict | None = None) -> dict:

@@ -24,6 +24,16 @@ def test_duplicate_repositories(spark):
     assert got == {"a": True, "b": False, "c": True}
 
 
+def test_signature_of_large_repositories(spark, monkeypatch):
+    rows = [(r, hashlib.sha256(str(i).encode()).hexdigest()) for r, n in (("a", 40), ("b", 40), ("c", 41)) for i in range(n)]
+    df = spark.createDataFrame(rows, "repository string, hash string")
+    plain = {r.repository: r.signature for r in dedup.repository_signatures(df).collect()}
+    assert plain["a"] == hashlib.sha256("\n".join(sorted(h for r, h in rows if r == "a")).encode()).hexdigest()
+    monkeypatch.setattr(dedup, "SIGNATURE_HASHES", 10)
+    large = {r.repository: r.signature for r in dedup.repository_signatures(df).collect()}
+    assert large["a"] == large["b"] != large["c"] and large["a"] != plain["a"]
+
+
 def _plain_minhash(text, perms=64):
     p, s = (1 << 61) - 1, " ".join(text.split())
     grams = {s[i : i + 5] for i in range(max(1, len(s) - 4))} if s else set()
