@@ -51,7 +51,7 @@ _GIVEN = rf"[{_U}][{_L}]+(?:-[{_U}][{_L}]+)?"
 _FAMILY = rf"(?:(?:von|van|de|der|da|di|del|la|Mc|Mac|O['’])[ ]?)*[{_U}][{_L}]{{2,}}(?:-[{_U}][{_L}]+)?"
 _LOCAL = re.compile(r"(?<![\w.+-])[A-Za-z0-9][\w.+%-]*\Z")
 _DOMAIN = re.compile(r"@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}(?![\w@:/-])")
-_WORDED_AT = re.compile(r"[(\[{<]at[)\]}>]|\bat\b[^\n]{1,60}?\bdot\b", re.I)
+_WORDED_AT = re.compile(r"[(\[{<]at[)\]}>]|\bdot\b", re.I)
 WORDED = re.compile(
     r"(?<![\w.+-])[A-Za-z0-9][\w.+%-]*\s?(?:\(at\)|\[at\]|\{at\}|<at>|\bat\b)\s?(?:[A-Za-z0-9][A-Za-z0-9-]*(?:\.|\s?(?:\(dot\)|\[dot\]|\{dot\}|<dot>|\bdot\b)\s?))+[A-Za-z]{2,}(?![\w-])",
     re.I,
@@ -75,12 +75,14 @@ _LABEL_BEFORE = re.compile(
     re.I,
 )
 _NOT_ID = re.compile(r"\b(?:build|run|lot|order(?: no\.?)?|ticket|commit|job|invoice|batch|serial|seed|issue|version|range|part|sku|track)[ :#]*(?:no\.?|number|id)?[ :#]*$", re.I)
+_FRENCH = "rue|avenue|boulevard|bd|allée|chemin|impasse|place|quai|route"
+_ENGLISH = "Street|St|Road|Rd|Lane|Ln|Avenue|Ave|Drive|Dr|Court|Ct|Boulevard|Blvd|Way|Place|Pl|Close|Square|Sq|Terrace|Crescent|Parkway|Pkwy|Highway|Hwy|Row|Hill|Gardens|Mews"
 ADDRESS = re.compile(
     rf"\b[{_U}][{_L}-]+(?:stra(?:ß|ss)e|str\.|weg|allee|gasse|platz|ring|ufer|damm|chaussee) ?\d{{1,4}} ?[a-z]?\b"
     rf"|\b(?:[{_U}][{_L}]+er )?(?:Stra(?:ß|ss)e|Str\.|Weg|Allee|Platz) (?:[{_U}][{_L}]+ )*\d{{1,4}} ?[a-z]?\b"
-    rf"|\b\d{{1,5}}[A-Za-z]?(?:[ ,]+(?:bis|ter))?,? (?:rue|avenue|boulevard|bd|allée|chemin|impasse|place|quai|route)(?: (?:de la|de l['’]|des|de|du|d['’])| )?[ ]?[{_U}][{_L}-]+(?: [{_U}][{_L}-]+)*"
+    rf"|\b\d{{1,5}}[A-Za-z]?(?:[ ,]+(?:bis|ter))?,? (?:{_FRENCH})(?: (?:de la|de l['’]|des|de|du|d['’])| )?[ ]?[{_U}][{_L}-]+(?: [{_U}][{_L}-]+)*"
     rf"|\b(?:Calle|Avenida|Avda\.?|Plaza|Paseo|C/|Via|Viale|Piazza|Rua|Travessa)[ ]?(?:de la |de los |de las |del |de |da |do )?[{_U}][{_L}-]+(?: [{_U}][{_L}-]+)*,? (?:n[º°.] ?)?\d{{1,4}}\b"
-    rf"|\b\d{{1,5}}[A-Za-z]? (?:[NSEW]\. )?(?:[{_U}][{_L}-]+ ){{1,3}}(?:Street|St|Road|Rd|Lane|Ln|Avenue|Ave|Drive|Dr|Court|Ct|Boulevard|Blvd|Way|Place|Pl|Close|Square|Sq|Terrace|Crescent|Parkway|Pkwy|Highway|Hwy|Row|Hill|Gardens|Mews)\b\.?"
+    rf"|\b\d{{1,5}}[A-Za-z]? (?:[NSEW]\. )?(?:[{_U}][{_L}-]+ ){{1,3}}(?:{_ENGLISH})\b\.?"
 )
 NAME = re.compile(
     rf"(?<![\w@.`/-])(?P<g>{_GIVEN})(?: [{_U}]\.| {_GIVEN}(?= {_FAMILY}))? (?P<f>{_FAMILY})(?![\w(`@-])"
@@ -88,23 +90,21 @@ NAME = re.compile(
     rf"|(?<![\w@.`/-])(?P<fr>{_FAMILY}), (?P<gr>{_GIVEN}|[{_U}]\.)(?: [{_U}]\.)?(?![\w(`@-])"
 )
 _GIVEN_ANY = re.compile("|".join(sorted({g[:1].upper() + g[1:] for g in GIVEN}, key=len, reverse=True)))
-_INITIAL = re.compile(rf"[{_U}]\. [{_U}]|, [{_U}]\.")
+_INITIAL = re.compile(rf"[{_U}]\. (?:[{_U}]|von|van|de|da|di|la)|, [{_U}]\.")
 _DIGITS = re.compile(r"\D")
-# Cheap signs of a street: plain substrings, or a digit right after a street's ending.
-_STREET_SIGNS = (
-    "straße", "strasse", "str.", "Straße", "Strasse", "Str.", "rue ", "avenue ", "boulevard ", " bd ", "allée", "chemin ", "impasse ", "quai ", " place ", " route ", "Calle", "Avenida", "Avda", "Plaza", "Paseo", "C/", "Viale", "Via ", "Piazza", "Rua ",
-    "Travessa", "Weg ", "Allee ", "Platz ", " Street", " St.", " St,", " St ", " St\n", " Road", " Rd", " Lane", " Ln", " Avenue", " Ave", " Drive", " Dr.", " Dr,", " Dr ", " Court", " Ct", " Boulevard", " Blvd", " Way", " Place", " Pl.", " Pl,",
-    " Pl ", " Close", " Square", " Sq", " Terrace", " Crescent", " Parkway", " Pkwy", " Highway", " Hwy", " Row", " Hill", " Gardens", " Mews",
-)
+# Signs of an address, each a true superset of its alternatives of ADDRESS whatever follows: plain substrings, a digit
+# right after a street's ending, and a house number before a street.
+_STREET_SIGNS = ("straße", "strasse", "str.", "Straße", "Strasse", "Str.", "Weg ", "Allee ", "Platz ", "Calle", "Avenida", "Avda", "Plaza", "Paseo", "C/", "Via", "Piazza", "Rua", "Travessa")
 _STREET_ENDS = ("weg", "allee", "gasse", "platz", "ring", "ufer", "damm", "chaussee")
-_STREET_NUMBER = re.compile("[0-9](?:" + "|".join(f"(?<={e}{gap}[0-9])" for e in _STREET_ENDS for gap in ("", " ")) + ")")
+_STREET_NUMBER = re.compile(r"\d(?:" + "|".join(rf"(?<={e}{gap}\d)" for e in _STREET_ENDS for gap in ("", " ")) + ")")
+_NUMBER_STREET = re.compile(rf"\d[A-Za-z]?(?: (?:[NSEW]\. )?(?:[{_U}][{_L}-]+ ){{1,3}}(?:{_ENGLISH})\b|(?:[ ,]+(?:bis|ter))?,? (?:{_FRENCH}))")
 
 
 def _may_hold_address(text: str) -> bool:
-    return any(s in text for s in _STREET_SIGNS) or bool(_STREET_NUMBER.search(text))
+    return any(s in text for s in _STREET_SIGNS) or bool(_STREET_NUMBER.search(text)) or bool(_NUMBER_STREET.search(text))
 
 
-_LONG_NUMBER = re.compile(r"\d[\d ().+/A-Z-]{5,}")
+_LONG_NUMBER = re.compile(r"\d[\d ().+/A-Z-]{4,}")
 
 
 def _phone_ok(s: str) -> bool:
@@ -141,7 +141,7 @@ def _email_spans(text: str):
         at = text.find("@", at + 1)
     if _WORDED_AT.search(text):
         for m in WORDED.finditer(text):
-            if re.search(r"[(\[{<]at[)\]}>]|\bdot\b", m.group(), re.I):
+            if _WORDED_AT.search(m.group()):
                 yield m.start(), m.end()
 
 

@@ -213,3 +213,26 @@ def test_personal_frames(spark):
     rows = personal.replace_personal(df).collect()
     assert len(rows) == 4 and {r.n_entities for r in rows} == {0, 1, 3}
     assert personal.personal_lines(df.limit(0)).count() == 0
+
+
+STREETS = [
+    "Lindenstraße 7", "Lindenstrasse 7", "Lindenstr. 7", "Feldweg 3", "Birkenallee 12", "Kreuzgasse 4", "Marktplatz 1", "Nordring 9", "Mainufer 2", "Elbdamm 5", "Ulmerchaussee 8", "Seeweg12",
+    "Berliner Straße 4", "Berliner Strasse 4", "Straße Morgen 6", "Ulmer Str. 4", "Ulmer Weg 4", "Ulmer Allee 4", "Ulmer Platz 4",
+    *(f"12 {w} de la Paix" for w in "rue avenue boulevard bd allée chemin impasse place quai route".split()), "12 bis, rue Victor", "12 rueVictor", "8b quai d'Orsay",
+    *(f"{w} del Sol 12" for w in "Calle Avenida Avda Avda. Plaza Paseo C/ Via Viale Piazza Rua Travessa".split()), "ViaRoma 5", "RuaAugusta 5",
+    *(f"45 Elm {w}" for w in "Street St Road Rd Lane Ln Avenue Ave Drive Dr Court Ct Boulevard Blvd Way Place Pl Close Square Sq Terrace Crescent Parkway Pkwy Highway Hwy Row Hill Gardens Mews".split()), "7a N. Old Mill Pl",
+]
+PEOPLE = ["Anna Keller", "Anna B. Keller", "A. Feldmann", "A. B. Feldmann", "A.B. Feldmann", "Keller, Anna", "Feldmann, A.", "A. O'Feldmann", "A. McFeldmann", *(f"J. {p} Steenberg" for p in "von van de der da di del la".split()), "von Feldmann, J."]
+
+
+@pytest.mark.parametrize("tail", ["", "\n", "\r\nx", ")", ";", ":", '"', ".", ","])
+def test_guards_let_every_form_through(tail):
+    for kind, forms in (("address", STREETS), ("name", PEOPLE)):
+        for s in forms:
+            text = f"Seen by {s}{tail}"
+            assert [(k, text[a:b].startswith(s) or s.endswith(".")) for a, b, k in personal.entities(text)] == [(kind, True)], (s, tail)
+
+
+def test_guards_of_numbers_and_worded_addresses():
+    assert [k for _, _, k in personal.entities("passport: 12345\n")] == ["identity"]
+    assert [k for _, _, k in personal.entities("jo.doe at\n" + "a" * 63 + " dot org")] == ["email"]
