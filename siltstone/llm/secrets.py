@@ -45,20 +45,20 @@ PROSE_BARE = re.compile(r"(?i)\b(?:password|passphrase|passwd|pwd|pass|secret|to
 FLAG = re.compile(r"(?i)(?<![\w-])--?(?:password|passwd|pwd|pass|secret|token|api-?key|auth-?key|access-?key|client-secret)(?:[= ]|\s+)[\"']?([^\s\"'`]{6,})|(?<!\w)-p([^\s\"'`-][^\s\"'`]{7,})|(?<![\w-])(?:-u|--user)[ =]?[\"']?[\w.-]+:([^\s\"'`@]{6,})|\b(?:IDENTIFIED BY|WITH PASSWORD|ENCRYPTED PASSWORD|PASSWORD)\s+'([^'\n]+)'|sshpass\s+-p\s*[\"']?([^\s\"']+)")
 _STR = r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`"
 ASSIGN = re.compile(
-    rf"(?<![\w$+/=])(?P<k>[A-Za-z_$][\w$.-]*)[\"'\]`)]*\s*(?:\[\])?\s*(?::\s*(?:&?'?\w+\s*)?[\w&<>\[\]|? ]*?)?\s*(?::=|=>|==|=|:|,|\)|\s)\s*(?:String::from\(|new String\(|std::string\(|f|b|r|u|@|\()?(?P<v>{_STR})"
+    rf"(?<![\w$+/=])(?P<k>[A-Za-z_$][\w$.-]*)[\"'\]`)]*\s*(?:\[\])?\s*(?::\s*(?:&?'?\w++\s*)?[\w&<>\[\]|? ]*?)?\s*(?::=|=>|==|=|:|,|\)|\s)\s*(?:String::from\(|new String\(|std::string\(|f|b|r|u|@|\()?(?P<v>{_STR})"
 )
 ENV = re.compile(r"(?m)^[ \t]*(?:export[ \t]+|set[ \t]+|ENV[ \t]+|-[ \t]+|[#;/*]+[ \t]*(?:export[ \t]+)?)?(?P<k>[A-Za-z_][\w.-]*)[ \t]*[=:][ \t]*(?P<v>[^\s\"'`#(\[{<]\S*)")
 JOIN = re.compile(rf"({_STR})(?:\s*(?:\+|\.|\\|<<|\.\.|\|\|)?\s*\n?\s*(?:\+|\.|\|\|)?\s*)(?={_STR})")
 _LITERAL = re.compile(_STR)
+# Between two lines of a literal cut into pieces: the end of the first is no key of the second.
+_CUT = re.compile(r"[\"'`]\s*\n\s*")
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
-# Plain substrings of the lower-cased text, one of which stands on or above every credential's line.
-TRIGGERS = (
-    "passw", "passphrase", "pwd", "_pass", "pass_", " pass", "pass\"", "pass'", "adminpass", "dbpass", "pass:", "pass=", "secret", "apikey", "api_key", "api-key", "api key", "auth",
-    "accesskey", "access_key", "access-key", "access key", "credential", "privatekey", "private_key", "private-key", "signing", "bearer ", "basic ", "token", "akia", "asia", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat",
-    "xox", "k_live", "k_test", "aiza", "eyj", "glpat", "whsec", "npm_", "sg.", "hf_", "sk-", "ya29", "-key", "_key ", "contraseña", "identified by",
-)
-_RUN = re.compile(r"[A-Za-z0-9+/=_#%!@$&*~^.:-]*[0-9#%!@$&*~^][A-Za-z0-9+/=_#%!@$&*~^.:-]*|A(?:KI|SI|RO|ID)A[A-Z]{16}")
-WINDOW_LINES = 3
+# Plain substrings of the folded text without one of which a pattern cannot match: one of each of its alternatives.
+AUTH_SIGNS = ("basic", "bearer", "token", "digest", "x-", "api-key", "apikey")
+FLAG_SIGNS = ("-p", "-u", "-secret", "-token", "-api", "-auth", "-access", "-client-secret", "identified by", "password", "sshpass")
+PROSE_SIGNS = ("pass", "pwd", "secret", "token", "key", "login", "credential", "contraseña")
+# Letters that match i, k and s where case is ignored, but are not lowered to them.
+_FOLD = str.maketrans("İıKſ", "iiks")
 
 
 PLACEHOLDER = re.compile(
@@ -175,72 +175,37 @@ def _joined(text: str, start: int, stop: int):
     return value, pieces
 
 
-def _windows(text: str, low: str) -> list[tuple[int, int]]:
-    """Merged stretches of lines from each trigger on, where some run of characters looks like a value."""
-    spans = []
-    for t in TRIGGERS:
-        at = low.find(t)
-        while at >= 0:
-            a = low.rfind("\n", 0, at) + 1
-            b = a
-            for _ in range(WINDOW_LINES):
-                b = low.find("\n", max(b, at)) + 1
-                if not b:
-                    b = len(text)
-                    break
-                at_line = b
-                at = max(at, at_line - 1)
-            spans.append((a, b))
-            first = low.find("\n", a)
-            at = low.find(t, first) if first >= 0 else -1
-    at = low.find("://")
-    while at >= 0:
-        end = low.find("\n", at)
-        end = len(text) if end < 0 else end
-        if "@" in low[at:end]:
-            spans.append((low.rfind("\n", 0, at) + 1, end))
-        at = low.find("://", end)
-    spans.sort()
-    merged: list[tuple[int, int]] = []
-    for a, b in spans:
-        if not any(m.end() - m.start() >= 6 for m in _RUN.finditer(text, a, b)):
-            continue
-        if merged and a <= merged[-1][1]:
-            merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
-        else:
-            merged.append((a, b))
-    return merged
-
-
-def _scan_window(text: str, lo: int, hi: int, language: str | None, add) -> None:
-    for m in ISSUED.finditer(text, lo, hi):
+def _scan(text: str, language: str | None, add) -> None:
+    low = (text if text.isascii() else text.translate(_FOLD)).lower()
+    for m in ISSUED.finditer(text):
         body = m.group().split("_")[-1]
         if not re.fullmatch(r"(?i)[x*.0-]+|.*(?:example|xxxx|0000000|your|here).*", body) and re.search(r"\d|[A-Z]", body):
             add(m.start(), m.end(), "issued_token")
-    for m in ADDRESS.finditer(text, lo, hi):
+    for m in ADDRESS.finditer(text) if "://" in text else ():
         v = m.group(1)
         if not PLACEHOLDER.match(v) and not LOOKUP.match(v) and "$" not in v[:1] and "{" not in v:
             add(m.start(1), m.end(1), "address_password")
-    for m in AUTH.finditer(text, lo, hi):
+    for m in AUTH.finditer(text) if any(t in low for t in AUTH_SIGNS) else ():
         g = 1 if m.group(1) else 2
         if credential_like(m.group(g), strong=True) and not ISSUED.match(m.group(g)):
             add(m.start(g), m.end(g), "authorization")
     if language != "json":
-        at = lo
-        while m := ASSIGN.search(text, at, hi):
+        at = 0
+        while m := ASSIGN.search(text, at):
             at = m.end("k")
-            if not sensitive(m.group("k")) and "\n" not in text[m.end("v") : m.end("v") + 4] and "+" not in text[m.end("v") : m.end("v") + 4] and text[m.end("v") : m.end("v") + 2].strip()[:1] not in ("+", ".", "\"", "'", "\\"):
+            named = sensitive(m.group("k")) and not _CUT.fullmatch(text, m.end("k"), m.start("v"))
+            if not named and "\n" not in text[m.end("v") : m.end("v") + 4] and "+" not in text[m.end("v") : m.end("v") + 4] and text[m.end("v") : m.end("v") + 2].strip()[:1] not in ("+", ".", "\"", "'", "\\"):
                 continue
             value, pieces = _joined(text, m.start("v"), m.end("v"))
-            if (sensitive(m.group("k")) and credential_like(value, strong=True)) or (len(pieces) > 1 and ISSUED.fullmatch(value)):
+            if (named and credential_like(value, strong=True)) or (len(pieces) > 1 and ISSUED.fullmatch(value)):
                 add(pieces[0][0], pieces[-1][1], "assigned_value", pieces)
                 at = pieces[-1][1]
-        for m in ENV.finditer(text, lo, hi):
+        for m in ENV.finditer(text):
             v = m.group("v").rstrip(",;")
             if sensitive(m.group("k")) and credential_like(v, strong=True) and (language in ("bash", "yaml", "markdown", "text", None, "unknown") or m.group().lstrip()[:1] in "#;/*"):
                 add(m.start("v"), m.start("v") + len(v), "assigned_value")
-    for rx, kind in ((FLAG, "command_value"), (PROSE, "note"), (PROSE_BARE, "note")):
-        for m in rx.finditer(text, lo, hi):
+    for rx, kind, some in ((FLAG, "command_value", FLAG_SIGNS), (PROSE, "note", PROSE_SIGNS), (PROSE_BARE, "note", PROSE_SIGNS)):
+        for m in rx.finditer(text) if any(t in low for t in some) else ():
             g = m.lastindex
             v = m.group(g).rstrip(".,;)")
             if credential_like(v, strong=True) and (rx is FLAG or re.search(r"\d", v)):
@@ -259,12 +224,6 @@ def find_secrets(text: str | None, language: str | None = None) -> list[tuple[in
             if re.search(r"[A-Za-z0-9+/=]{16,}", text[m.end() : min(body_end, m.end() + 400)]):
                 spans = [(m.end() + x.start(), m.end() + x.end()) for x in re.finditer(r"[A-Za-z0-9+/=]{8,}", text[m.end() : body_end])]
                 found.append((m.start(), end.end() if end else body_end, "private_key", spans))
-    low = text.lower()
-    if len(low) != len(text):
-        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-    windows = _windows(text, low)
-    if not windows:
-        return found
 
     def add(a: int, b: int, kind: str, pieces=None):
         found.append((a, b, kind, pieces or [(a, b)]))
@@ -277,8 +236,7 @@ def find_secrets(text: str | None, language: str | None = None) -> list[tuple[in
         for path, a, b in _yaml_pairs(text):
             if sensitive(path.rsplit(".", 1)[-1]) and credential_like(text[a:b], strong=True):
                 add(a, b, "config_value")
-    for lo, hi in windows:
-        _scan_window(text, lo, hi, language, add)
+    _scan(text, language, add)
     found.sort(key=lambda f: (f[0], -f[1]))
     out: list[tuple[int, int, str, list[tuple[int, int]]]] = []
     for f in found:

@@ -236,3 +236,24 @@ def test_guards_let_every_form_through(tail):
 def test_guards_of_numbers_and_worded_addresses():
     assert [k for _, _, k in personal.entities("passport: 12345\n")] == ["identity"]
     assert [k for _, _, k in personal.entities("jo.doe at\n" + "a" * 63 + " dot org")] == ["email"]
+
+
+_HEX, _ID = "4a49b4d546176edc984a684a485b82e0", "M54RKGE47HZUKJ8F"
+ALONE = [
+    *((None, f"x = {p}{_ID}\n") for p in ("AKIA", "ASIA", "AROA", "AIDA")), (None, "x pypi-" + "aB3d" * 14), (None, "x dop_v1_" + _HEX * 2), (None, "x shpat_" + _HEX), (None, "x sq0atp-" + "aB3d" * 6), (None, "x AC" + _HEX), (None, "x key-" + _HEX),
+    *(("python", f'{k} = "Vault!4288payload"\n') for k in "encryptionKey masterKey deployKey serviceKey webhookKey licenseKey accountKey signingKey ENCRYPTION_KEY ACCOUNT_KEY MASTER_KEY dbPw db_pw psk pat pw".split()),
+    *((g, t % k) for k in ("encryptionKey", "masterKey", "deploy_key", "psk", "pat") for g, t in (("json", '{"a": {"%s": "Vault!4288payload"}}'), ("yaml", "a:\n  %s: Vault!4288payload\n"))),
+    ("bash", "curl -u admin:Vault4288payload host\n"), ("bash", "curl --user admin:Vault4288payload host\n"), ("bash", "mysql -pVault4288payload db\n"), ("bash", "sshpass -p Vault4288payload ssh h\n"), ("bash", "tool --pass Vault4288payload\n"),
+    ("markdown", "The login is `Vault!4288payload`.\n"), ("markdown", "Le mot de passe: `Vault!4288payload`.\n"),
+]
+
+
+@pytest.mark.parametrize(("lang", "text"), ALONE)
+def test_each_form_of_credential_is_found_alone(lang, text):
+    assert len(secrets.find_secrets(text, lang)) == 1
+    assert len(secrets.find_secrets("\n" * 9 + text, lang)) == 1
+
+
+def test_piece_of_a_cut_literal_is_no_key():
+    blob = 'B = (\n    "kvQnEcKaudunioXH3BwPL0v7/C0JSdfKotQLCj5j0Pw"\n    "yMtRUa4gY5OXpuVhNlR8MC9zUj9E5OejEmWNrQ"\n)\n'
+    assert secrets.find_secrets(blob, "python") == []
