@@ -113,7 +113,7 @@ def _scan(records: DataFrame) -> DataFrame:
         rows = []
         for p, t, g in zip(paths, texts, langs, strict=True):
             r = signs(p, t, g)
-            rows.append((r, winnow(t).view(np.int64) if r is None and g in CODE else []))
+            rows.append((r, winnow(t).view(np.int64) if g in CODE else []))
         return pd.DataFrame(rows, columns=["reason", "f"])
 
     lang = canonical_language(F.col("language"), F.col("path"))
@@ -125,7 +125,8 @@ def _scan(records: DataFrame) -> DataFrame:
 def not_handwritten(records: DataFrame, *, min_owners: int = MIN_OWNERS, min_share: float = MIN_SHARE) -> DataFrame:
     """``ord, reason``: files that were not written by hand (generated, vendored, minified, data)."""
     files = materialize(_scan(records), "fingerprints")
-    fps = files.where("reason IS NULL").select("owner", F.explode("f").alias("f"))
+    # Copies that a sign gives away count too: their owners show that the unmarked ones recur.
+    fps = files.select("owner", F.explode("f").alias("f"))
     # Owners of a fingerprint: equal pairs combine before the shuffle, so a hot one costs one row a task.
     recurring = fps.distinct().groupBy("f").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_owners).select("f")
     recurring = materialize(recurring, "recurring")

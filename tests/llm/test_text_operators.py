@@ -257,3 +257,11 @@ def test_each_form_of_credential_is_found_alone(lang, text):
 def test_piece_of_a_cut_literal_is_no_key():
     blob = 'B = (\n    "kvQnEcKaudunioXH3BwPL0v7/C0JSdfKotQLCj5j0Pw"\n    "yMtRUa4gY5OXpuVhNlR8MC9zUj9E5OejEmWNrQ"\n)\n'
     assert secrets.find_secrets(blob, "python") == []
+
+
+def test_copies_with_signs_count_as_owners(spark):
+    copy = " ".join(f"name{i} = call{i * 7 % 13}(value{i})" for i in range(60))
+    rows = [(i, f"owner{i}/r", f"{'vendor' if i < 5 else 'src'}/m{i}.py", ("# Vendored from x\n" if i == 5 else "") + copy, "python") for i in range(7)]
+    df = spark.createDataFrame(rows, "ord long, repo string, path string, text string, language string")
+    assert {r.ord: r.reason for r in vendored.not_handwritten(df).collect()} == {i: "vendored" for i in range(7)}
+    assert vendored.not_handwritten(df.where("ord <> 5")).count() == 6 and vendored.not_handwritten(df.where("ord > 1")).count() == 4
