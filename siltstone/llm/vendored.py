@@ -43,15 +43,25 @@ _COPY_NOTICE = re.compile(r"(?i)^(?:vendored (?:from|copy of)\b|bundled third[-
 _COMMENT = re.compile(r"^\s*(?:#|//|/\*|\*|--|;|<!--|\"\"\"|''')")
 _DATA = re.compile(r"0x[0-9A-Fa-f]{1,16}\b|(?<![\w.])-?\d+(?:\.\d+)?(?:[eE][-+]?\d+)?(?![\w.])|[\"'][A-Za-z0-9+/=\\x]{40,}[\"']")
 _SPACE = re.compile(r"\s+")
-HEAD_LINES = 12
+_BLOCKS = {"/*": "*/", "<!--": "-->"}
+
+
+def _lines(text: str):
+    at = 0
+    while at <= len(text):
+        end = text.find("\n", at)
+        end = len(text) if end < 0 else end
+        yield text[at:end]
+        at = end + 1
 
 
 def head_notice(text: str) -> str | None:
-    """``generated`` or ``vendored`` if a comment line at the head says so."""
-    for line in text[:3000].split("\n", HEAD_LINES)[:HEAD_LINES]:
+    """``generated`` or ``vendored`` if a comment line in front of the first line of code says so."""
+    close = None
+    for line in _lines(text):
         if not line.strip() or line.startswith(("#!", "<<<<<<<", "=======", ">>>>>>>")):
             continue
-        if not _COMMENT.match(line):
+        if close is None and not _COMMENT.match(line):
             if line.startswith(("package ", "'use strict'", '"use strict"', "<?")):
                 continue
             break
@@ -60,6 +70,15 @@ def head_notice(text: str) -> str | None:
             return "generated"
         if _COPY_NOTICE.match(said):
             return "vendored"
+        # Whether a block stays open at the end of the line: blocks may close and open again on it.
+        at, start = 0, line.lstrip()
+        if close is None:
+            close = next((c for o, c in _BLOCKS.items() if start.startswith(o)), None)
+            at = len(line) - len(start) + 2
+        while close and (end := line.find(close, at)) >= 0:
+            rest = line[end + len(close) :].lstrip()
+            at = len(line) - len(rest) + 2
+            close = next((c for o, c in _BLOCKS.items() if rest.startswith(o)), None)
     return None
 
 

@@ -265,3 +265,15 @@ def test_copies_with_signs_count_as_owners(spark):
     df = spark.createDataFrame(rows, "ord long, repo string, path string, text string, language string")
     assert {r.ord: r.reason for r in vendored.not_handwritten(df).collect()} == {i: "vendored" for i in range(7)}
     assert vendored.not_handwritten(df.where("ord <> 5")).count() == 6 and vendored.not_handwritten(df.where("ord > 1")).count() == 4
+
+
+def test_notices_anywhere_in_front_of_the_code():
+    made, law = "Code generated by x-gen. DO NOT EDIT.", "of a licence that goes on for a whole line and says what may be done with the file and what may not"
+    for n in (1, 11, 13, 60):
+        assert vendored.head_notice(f"// {law}\n" * n + f"//\n// {made}\npackage a\n") == "generated"
+        assert vendored.head_notice("/*\n" + f"  {law}\n" * n + f"\n  {made}\n*/\nint x;\n") == "generated"
+        assert vendored.head_notice("/*\r\n" + f"{law}\r\n" * n + f"*/\r\n/* Vendored from b 1.2 */\r\nint x;\r\n") == "vendored"
+        assert vendored.head_notice("/*\n" + f"{law}\n" * n + f"*/\nint x;\n// {made}\n") is None
+        assert vendored.head_notice(f"/* {law} */\n" * n + f"x = 1\n# {made}\n") is None
+    assert vendored.head_notice(f"/* a */ /* b\n{made} */\nx") == "generated"
+    assert vendored.head_notice(f"/* a */ /* b */\nx\n{made}\n") is None
