@@ -27,8 +27,6 @@ from siltstone.session import checkpoint
 RATIOS = {"train": 0.8, "validation": 0.1, "test": 0.1}
 RANK_BUCKETS = 256
 OVER_QUOTA_COST = 4
-#: Sizes above this share a power-of-two class, which bounds the bundles sent to the driver.
-EXACT_SIZES = 4096
 
 
 def _owner(repo):
@@ -171,8 +169,8 @@ def assign_splits(files: DataFrame, repos: DataFrame, staged: DataFrame, ratios:
     label = F.when(most == 0, F.lit(""))
     for s in RATIOS:
         label = label.when(F.col(f"n_{s}") == most, F.lit(s))
-    size = F.when(F.col("n_rows") <= EXACT_SIZES, F.col("n_rows")).otherwise(F.pow(F.lit(2.0), F.floor(F.log2(F.col("n_rows").cast("double")))).cast("long"))
-    g = groups.select("component", size.alias("size"), label.alias("label"), F.xxhash64(F.lit(seed), "component").alias("h"))
+    # Distinct sizes number at most about sqrt(2 x rows), so the bundles sent to the driver stay few.
+    g = groups.select("component", F.col("n_rows").alias("size"), label.alias("label"), F.xxhash64(F.lit(seed), "component").alias("h"))
     g = checkpoint(g.withColumn("bucket", F.pmod("h", F.lit(RANK_BUCKETS))))
     counts = g.groupBy("size", "label", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = counts.withColumn(

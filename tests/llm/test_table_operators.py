@@ -49,6 +49,14 @@ def test_groups_stay_whole_and_near_the_quotas(spark):
     assert sorted(got) == sorted(again)
 
 
+def test_large_groups_count_with_all_their_rows(spark):
+    names = F.when(F.col("id") < 8191, "big/one").otherwise(F.concat(F.lit("o"), F.floor((F.col("id") - 8191) / 100).cast("string"), F.lit("/r")))
+    files = spark.range(8191 + 33_000).select(names.alias("repository"), F.lit("train").alias("split"))
+    none = spark.createDataFrame([], "repository string, split string, repo string, root string")
+    n = {r.split: r.n_rows for r in splits.split_report(files, none.select("repository", "split"), none.select("repo", "root")).collect()}
+    assert sum(n.values()) == 41_191 and all(abs(n[s] - 41_191 * q) <= 100 for s, q in splits.RATIOS.items())
+
+
 def test_split_edges(spark):
     f, r, s = (t.limit(0) for t in split_tables(spark))
     assert splits.leaking_repositories(f, r, s).count() == 0
