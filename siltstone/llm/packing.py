@@ -27,9 +27,8 @@ from siltstone.session import materialize
 
 CAPACITY = 2048
 RANK_BUCKETS = 64
-#: Underfull bins that the local search holds at once; the rest of the bins stay patterns.
+#: Underfull bins that the local search holds at once; it takes all of them, block by block.
 SEARCH_BINS = 4000
-SEARCH_ROUNDS = 60
 
 Pattern = tuple[tuple[int, int], ...]
 
@@ -61,7 +60,7 @@ def first_fit_decreasing(hist: dict[int, int], capacity: int) -> list[tuple[Patt
     return out
 
 
-def local_search(bins: list[list[int]], capacity: int, rounds: int = SEARCH_ROUNDS) -> list[list[int]]:
+def local_search(bins: list[list[int]], capacity: int) -> list[list[int]]:
     """Raise the sum of squared fills by moves and swaps; returns the bins that are not empty.
 
     Bins are treated from the least filled; its items are moved to, or exchanged one for one or two
@@ -69,7 +68,7 @@ def local_search(bins: list[list[int]], capacity: int, rounds: int = SEARCH_ROUN
     """
     bins = [sorted(b, reverse=True) for b in bins if b]
     fill = [sum(b) for b in bins]
-    for _ in range(rounds):
+    while True:
         changed = False
         order = sorted(range(len(bins)), key=fill.__getitem__)
         gaps = [i for i in order if bins[i] and fill[i] < capacity]
@@ -87,7 +86,7 @@ def local_search(bins: list[list[int]], capacity: int, rounds: int = SEARCH_ROUN
                 if best[0] < room:
                     own, other = sorted(set(bins[a])), sorted(set(bins[b]))
                     pairs = [(x, (x,)) for x in own]
-                    pairs += [(x + y, (x, y)) for i, x in enumerate(own[:24]) for y in own[i:24] if x != y or bins[a].count(x) > 1]
+                    pairs += [(x + y, (x, y)) for i, x in enumerate(own) for y in own[i:] if x != y or bins[a].count(x) > 1]
                     for y in other:
                         for total, xs in pairs:
                             gain = total - y
@@ -117,15 +116,17 @@ def pack_histogram(hist: dict[int, int], capacity: int = CAPACITY) -> list[tuple
     for pattern, times in first_fit_decreasing(hist, capacity):
         (full if sum(n * k for n, k in pattern) == capacity else loose).append((pattern, times))
     loose.sort(key=lambda p: sum(n * k for n, k in p[0]))
-    bins: list[list[int]] = []
-    rest = []
-    for pattern, times in loose:
-        take = min(times, SEARCH_BINS - len(bins))
-        bins += [[n for n, k in pattern for _ in range(k)] for _ in range(take)]
-        if take < times:
-            rest.append((pattern, times - take))
-    found = Counter(tuple(sorted(Counter(b).items(), reverse=True)) for b in local_search(bins, capacity))
-    return full + rest + sorted(found.items(), reverse=True)
+    # Dealt in turn, so that every block has bins of all fills and patterns.
+    blocks = max(1, -(-sum(times for _, times in loose) // SEARCH_BINS))
+    found: Counter[Pattern] = Counter()
+    for block in range(blocks):
+        bins, at = [], 0
+        for pattern, times in loose:
+            take = len(range((block - at) % blocks, times, blocks))
+            bins += [[n for n, k in pattern for _ in range(k)] for _ in range(take)]
+            at += times
+        found.update(tuple(sorted(Counter(b).items(), reverse=True)) for b in local_search(bins, capacity))
+    return full + sorted(found.items(), reverse=True)
 
 
 def pieces(items: DataFrame, item_id: str, ids: str, capacity: int = CAPACITY) -> DataFrame:

@@ -140,6 +140,17 @@ def test_local_search_empties_bins():
     assert packing.local_search([], 10) == []
 
 
+def test_all_underfull_bins_are_searched(monkeypatch):
+    monkeypatch.setattr(packing, "SEARCH_BINS", 40)
+    hist = {4: 100, 3: 200}  # first-fit decreasing: 117 bins of 10, the bound: 100
+    out = packing.pack_histogram(hist, 10)
+    held = Counter()
+    for pattern, times in out:
+        for n, k in pattern:
+            held[n] += k * times
+    assert held == hist and sum(times for _, times in out) <= 104
+
+
 def test_pack_frames(spark):
     random.seed(3)
     rows = [(i, [i % 100] * random.choice([0, 1, 5, 5, 5, 17, 33, 64, 65, 200]), "x") for i in range(800)] + [(900, None, "x"), (901, [1] * 128, "x")]
