@@ -33,6 +33,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p3_found": _on("records")(lambda r: syntax.syntax_failures(r).select("ord")),
         "p3_rates": _on("records")(syntax.syntax_rates),
         "p4_found": _on("records")(lambda r: vendored.not_handwritten(r).select("ord").distinct()),
+        "p4_marked": _on("records")(vendored.marked_files),
+        "p4_copies": _on("records")(vendored.copied_files),
         "p4_report": _on("records")(vendored.handwritten_report),
         "p5_found": _on("records")(secrets.secret_lines),
         "p5_redacted": _on("records")(secrets.redact_records),

@@ -1,14 +1,19 @@
 """Problem 4: generated, minified or vendored source files and data blobs saved as code.
 
-Vendored copies are found by winnowing: every ``GRAM`` normalised tokens in row are hashed, the
-smallest hash of each ``WINDOW`` in row is kept as a fingerprint, and a code file most of whose
-fingerprints recur in repositories of many unrelated owners is a copy. Beside it stand the signs a
-single file carries: folders of third parties, lock files, names that generators give, the notice of
-a generator or of an upstream at the head of the file, the shape of minified text, and literal data
-that makes up most of a code file.
-
-NULL and empty texts can still be flagged by their path; NULL paths by their text. Mentions of such
-notices below the head, or inside strings, are none. Repeated rows are flagged alike.
+Copies are found by winnowing: every ``GRAM`` normalised tokens in row are hashed, and the smallest
+hash of each ``WINDOW`` in row is kept as a fingerprint (a text too short for one window is one
+fingerprint as a whole). A source file most of whose fingerprints recur in repositories of many
+unrelated owners is a copy. Owners are counted over all source files, marked or not, exactly: no
+sketch, no cap, hot fingerprints salted.
+
+Beside it stand the signs that a single file carries (``marked``, a query of its own): folders of
+third parties, lock files, names that generators give, the notice of a generator or of an upstream
+at the head of the file, the shape of minified text, and literal data that makes up most of a file.
+
+NULL and empty texts can still be flagged by their path; NULL paths by their text. Prose (markdown,
+plain text, licence files) is no source and a text of fewer than ``GRAM`` tokens has no fingerprint;
+both carry signs only. Notices below the head, or inside strings, are none. Repeated rows are
+flagged alike; they count for one owner.
 """
 
 from __future__ import annotations
@@ -21,13 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions.text import canonical_language, canonical_repository
-from siltstone.llm.overlap import _sketch
 from siltstone.llm.words import hash_words, run_hashes, words
 from siltstone.session import materialize, spread
 
-GRAM, WINDOW = 8, 16
-MIN_OWNERS, MIN_SHARE, MIN_FINGERPRINTS = 6, 0.8, 4
-SKETCH_BITS = 23
+GRAM, WINDOW = 20, 16
+MIN_OWNERS, MIN_SHARE = 6, 0.8
+SALTS = 16
+PROSE = ("markdown", "text")
 CODE = frozenset("python javascript typescript go rust java cpp bash sql css".split())
 
 # Folders of third-party code, lock files, names that generators give.
@@ -39,46 +44,49 @@ _MADE_NOTICE = re.compile(
     r"(?i)^(?:code generated by .{1,80} do not edit|auto-?generated file\b|<auto-?generated\b|this file (?:was|is) (?:made by \S+-gen\b|(?:auto(?:matically)?[- ]?)?generated\b)|machine[- ]written by\b"
     r"|@generated\b|automatically generated (?:from|by)\b|auto-?generated (?:from|by)\b|generated (?:by|from|with) \S+.{0,60}(?:do not|don't|not) (?:edit|modify)|do not edit\b.{0,40}(?:generated|this file)|this is a generated file)"
 )
-_COPY_NOTICE = re.compile(r"(?i)^(?:vendored (?:from|copy of)\b|bundled third[- ]party copy\b|third[- ]party copy of\b|(?:copied|imported|taken) verbatim from\b|upstream copy of\b)")
+_COPY_NOTICE = re.compile(r"(?i)^(?:vendored (?:from|copy of)\b|bundled third[- ]party copy\b|third[- ]party copy of\b|(?:copied|imported|taken) verbatim from\b|upstream copy of\b|[\w@./-]+ v?\d+\.\d+[\w.+-]*\s*(?:[|·*-]\s*)?(?:\(c\)|©|copyright|licen[cs]ed?\b)|[^\n]*\bfetched from (?:the )?\S+ project\b)")
+_LICENSE_NAME = re.compile(r"(?:^|/)(?:(?:un)?licen[cs]e|copying|notice|copyright)(?:[.-][^/]*)?$", re.I)
 _COMMENT = re.compile(r"^\s*(?:#|//|/\*|\*|--|;|<!--|\"\"\"|''')")
 _DATA = re.compile(r"0x[0-9A-Fa-f]{1,16}\b|(?<![\w.])-?\d+(?:\.\d+)?(?:[eE][-+]?\d+)?(?![\w.])|[\"'][A-Za-z0-9+/=\\x]{40,}[\"']")
 _SPACE = re.compile(r"\s+")
 _BLOCKS = {"/*": "*/", "<!--": "-->"}
 
 
-def _lines(text: str):
-    at = 0
-    while at <= len(text):
+def head(text: str) -> tuple[list[str], int]:
+    """The comment lines in front of the first line of code, and where that line starts."""
+    close, at, said = None, 0, []
+    while at < len(text):
         end = text.find("\n", at)
         end = len(text) if end < 0 else end
-        yield text[at:end]
+        line, here = text[at:end], at
         at = end + 1
-
-
-def head_notice(text: str) -> str | None:
-    """``generated`` or ``vendored`` if a comment line in front of the first line of code says so."""
-    close = None
-    for line in _lines(text):
         if not line.strip() or line.startswith(("#!", "<<<<<<<", "=======", ">>>>>>>")):
             continue
         if close is None and not _COMMENT.match(line):
             if line.startswith(("package ", "'use strict'", '"use strict"', "<?")):
                 continue
-            break
+            return said, here
+        said.append(line)
+        # Whether a block stays open at the end of the line: blocks may close and open again on it.
+        to, start = 0, line.lstrip()
+        if close is None:
+            close = next((c for o, c in _BLOCKS.items() if start.startswith(o)), None)
+            to = len(line) - len(start) + 2
+        while close and (stop := line.find(close, to)) >= 0:
+            rest = line[stop + len(close) :].lstrip()
+            to = len(line) - len(rest) + 2
+            close = next((c for o, c in _BLOCKS.items() if rest.startswith(o)), None)
+    return said, len(text)
+
+
+def head_notice(text: str) -> str | None:
+    """``generated`` or ``vendored`` if a comment line in front of the first line of code says so."""
+    for line in head(text)[0]:
         said = re.sub(r"^[\s#/*;!\"'-]+", "", line).strip()
         if _MADE_NOTICE.match(said):
             return "generated"
         if _COPY_NOTICE.match(said):
             return "vendored"
-        # Whether a block stays open at the end of the line: blocks may close and open again on it.
-        at, start = 0, line.lstrip()
-        if close is None:
-            close = next((c for o, c in _BLOCKS.items() if start.startswith(o)), None)
-            at = len(line) - len(start) + 2
-        while close and (end := line.find(close, at)) >= 0:
-            rest = line[end + len(close) :].lstrip()
-            at = len(line) - len(rest) + 2
-            close = next((c for o, c in _BLOCKS.items() if rest.startswith(o)), None)
     return None
 
 
@@ -116,14 +124,24 @@ def signs(path: str | None, text: str | None, language: str | None) -> str | Non
 
 
 def winnow(text: str | None) -> np.ndarray:
-    """Fingerprints of the text's tokens: the least hash of each window of grams."""
-    h = run_hashes(hash_words(words(text)), GRAM)
-    if len(h) <= WINDOW:
-        return np.unique(h[h == h.min()]) if len(h) else h
+    """Fingerprints of the text's tokens: the least hash of each window of grams.
+
+    The comment at the head is left out, as licence headers recur everywhere. ``GRAM`` is the length
+    under which runs of tokens are noise. A text that fills no window is one fingerprint as a whole;
+    one of fewer than ``GRAM`` tokens has none.
+    """
+    w = hash_words(words(text[head(text)[1] :]) if text else [])
+    h = run_hashes(w, GRAM)
+    if len(h) < WINDOW:
+        return run_hashes(w, len(w)) if len(h) else h
     view = np.lib.stride_tricks.sliding_window_view(h, WINDOW)
     return np.unique(view.min(axis=1))
 
 
+def _source(path: str | None, language: str | None) -> bool:
+    return language is not None and language not in PROSE and not _LICENSE_NAME.search((path or "").replace("\\", "/"))
+
+
 def _scan(records: DataFrame) -> DataFrame:
     """``ord, owner, reason, f``: the signs and fingerprints of each file, in one pass over the texts."""
 
@@ -131,8 +149,7 @@ def _scan(records: DataFrame) -> DataFrame:
     def scan(paths: pd.Series, texts: pd.Series, langs: pd.Series) -> pd.DataFrame:
         rows = []
         for p, t, g in zip(paths, texts, langs, strict=True):
-            r = signs(p, t, g)
-            rows.append((r, winnow(t).view(np.int64) if g in CODE else []))
+            rows.append((signs(p, t, g), winnow(t).view(np.int64) if _source(p, g) else []))
         return pd.DataFrame(rows, columns=["reason", "f"])
 
     lang = canonical_language(F.col("language"), F.col("path"))
@@ -141,27 +158,34 @@ def _scan(records: DataFrame) -> DataFrame:
     return r.select("ord", owner.alias("owner"), scan("path", "text", "lang").alias("s")).select("ord", "owner", "s.reason", "s.f")
 
 
+def _copies(files: DataFrame, min_owners: int, min_share: float) -> DataFrame:
+    """``ord`` of the files of ``_scan`` most of whose fingerprints recur for many owners."""
+    fps = files.select("owner", F.explode("f").alias("f"))
+    # Equal pairs combine before the shuffle, so a hot fingerprint costs one row a task and owner.
+    owners = fps.distinct().groupBy("f").agg(F.count(F.lit(1)).alias("n"))
+    recurring = materialize(owners.where(F.col("n") >= min_owners).select("f"), "recurring")
+    salted = recurring.select("f", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    parts = files.select("ord", F.size("f").alias("n"), F.pmod(F.hash("ord"), F.lit(SALTS)).alias("salt"), F.explode("f").alias("f"))
+    hits = parts.join(salted, ["f", "salt"]).groupBy("ord").agg(F.count(F.lit(1)).alias("hit"), F.max("n").alias("n"))
+    return hits.where(F.col("hit") >= min_share * F.col("n")).select("ord")
+
+
+def copied_files(records: DataFrame, *, min_owners: int = MIN_OWNERS, min_share: float = MIN_SHARE) -> DataFrame:
+    """``ord``: files that are copies by their recurring fingerprints alone, whatever their signs."""
+    return _copies(materialize(_scan(records), "fingerprints"), min_owners, min_share)
+
+
+def marked_files(records: DataFrame) -> DataFrame:
+    """``ord, reason``: files that carry a sign themselves."""
+    return _scan(records).where("reason IS NOT NULL").select("ord", "reason")
+
+
 def not_handwritten(records: DataFrame, *, min_owners: int = MIN_OWNERS, min_share: float = MIN_SHARE) -> DataFrame:
     """``ord, reason``: files that were not written by hand (generated, vendored, minified, data)."""
     files = materialize(_scan(records), "fingerprints")
-    # Copies that a sign gives away count too: their owners show that the unmarked ones recur.
-    fps = files.select("owner", F.explode("f").alias("f"))
-    # Owners of a fingerprint: equal pairs combine before the shuffle, so a hot one costs one row a task.
-    recurring = fps.distinct().groupBy("f").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_owners).select("f")
-    recurring = materialize(recurring, "recurring")
-    spark = records.sparkSession
-    sketch = spark.sparkContext.broadcast(_sketch(recurring.select(F.array("f").alias("s")), SKETCH_BITS))
-    mask = np.uint64((1 << SKETCH_BITS) - 1)
-
-    @F.pandas_udf("double")
-    def share(fs: pd.Series) -> pd.Series:
-        seen = sketch.value
-        return pd.Series([float((seen[(np.asarray(f, dtype=np.int64).view(np.uint64) & mask).astype(np.int64)] > 0).mean()) if len(f) else 0.0 for f in fs])
-
-    some = files.where("reason IS NULL").where(F.size("f") >= MIN_FINGERPRINTS)
-    likely = some.where(share("f") >= min_share).select("ord", F.size("f").alias("n"), F.explode("f").alias("f"))
-    exact = likely.join(recurring, "f").groupBy("ord").agg(F.count(F.lit(1)).alias("hit"), F.first("n").alias("n")).where(F.col("hit") >= min_share * F.col("n"))
-    return files.where("reason IS NOT NULL").select("ord", "reason").unionAll(exact.select("ord", F.lit("vendored").alias("reason")))
+    copies = _copies(files, min_owners, min_share).withColumn("copied", F.lit(True))
+    found = files.select("ord", "reason").join(copies, "ord", "left").where("reason IS NOT NULL OR copied")
+    return found.select("ord", F.coalesce("reason", F.lit("vendored")).alias("reason"))
 
 
 def handwritten_report(records: DataFrame) -> DataFrame:
