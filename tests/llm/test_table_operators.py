@@ -71,6 +71,21 @@ def test_allocation_uses_every_component(bundles):
     assert all(sum(out[s, k].values()) == n for s, k, n in bundles)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 9), st.tuples(*[st.integers(0, 5)] * 3)), min_size=1, max_size=8), st.tuples(*[st.integers(0, 9)] * 3))
+def test_transport_is_a_min_cost_flow(sources, quota):
+    supply, costs, over = [n for n, _ in sources], [c for _, c in sources], 4
+    got = splits.transport(supply, costs, list(quota), over)
+    assert [sum(f) for f in got] == supply
+    price = sum(x * c for f, cs in zip(got, costs, strict=True) for x, c in zip(f, cs, strict=True))
+    price += over * sum(max(0, sum(f[s] for f in got) - quota[s]) for s in range(3))
+    n, total = len(supply), sum(supply)
+    arcs = [(0, 2 + i, supply[i], 0) for i in range(n)] + [(2 + i, 2 + n + s, supply[i], costs[i][s]) for i in range(n) for s in range(3)]
+    arcs += [a for s in range(3) for a in ((2 + n + s, 1, quota[s], 0), (2 + n + s, 1, total, over))]
+    flow = splits.min_cost_flow(n + 5, arcs, 0, 1)
+    assert price == sum(f * a[3] for f, a in zip(flow, arcs, strict=True))
+
+
 def test_min_cost_flow():
     flow = splits.min_cost_flow(4, [(0, 1, 3, 0), (0, 2, 2, 0), (1, 2, 2, 1), (1, 3, 2, 4), (2, 3, 4, 1)], 0, 3)
     assert flow[3] + flow[4] == 5 and flow[4] == 4
