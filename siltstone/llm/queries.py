@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets as secrets_of_python
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +24,11 @@ def _on(*names: str):
     return wrap
 
 
+def _secret(df: DataFrame) -> str:
+    """The key of the surrogates, from the session; a query run without one gets a key of its own that nobody keeps."""
+    return df.sparkSession.conf.get("spark.siltstone.surrogateKey", None) or secrets_of_python.token_hex(32)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": _on("files", "repos", "staged_repos")(splits.leaking_repositories),
@@ -46,7 +52,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p9_found": _on("documents", "eval_items")(lambda d, e: leakage.find_leaks(d, e).select("doc_id", "item_id").distinct()),
         "p9_removed": _on("documents", "eval_items")(lambda d, e: leakage.remove_leaks(d, leakage.find_leaks(d, e))),
         "p10_found": _on("documents")(personal.personal_lines),
-        "p10_replaced": _on("documents")(personal.replace_personal),
+        "p10_replaced": _on("documents")(lambda d: personal.replace_personal(d, _secret(d))),
+        "p10_surrogates": _on("documents")(lambda d: personal.surrogate_report(d, _secret(d))),
     }
 
 

@@ -210,7 +210,7 @@ def test_distinct_entities_keep_apart():
 def test_personal_frames(spark):
     df = spark.createDataFrame([(1, "x\nI am Jonas Tarvenby\nand Olga Gremik, o@x.example", "e"), (2, None, "e"), (3, "", "e"), (1, "a@b.example", "e")], "doc_id long, text string, kind string")
     assert sorted((r.doc_id, r.kind, r.line_no) for r in personal.personal_lines(df).collect()) == [(1, "email", 1), (1, "email", 3), (1, "name", 2), (1, "name", 3)]
-    rows = personal.replace_personal(df).collect()
+    rows = personal.replace_personal(df, "k").collect()
     assert len(rows) == 4 and {r.n_entities for r in rows} == {0, 1, 3}
     assert personal.personal_lines(df.limit(0)).count() == 0
 
@@ -301,3 +301,32 @@ def test_copies_under_varied_names_are_found_without_signs(spark):
     got = {r.ord for r in vendored.copied_files(df).collect()}
     assert not got - planted and len(got) >= 0.98 * len(planted)
     assert vendored.marked_files(df).count() == 0
+
+
+def test_one_entity_one_surrogate_and_many_entities_many_surrogates():
+    s = personal.Surrogates(b"a key")
+    for kind, make in (("name", "Anna X{}"), ("phone", "030 {:07d}"), ("phone", "+1 315 {:03d} 0174"), ("identity", "{:08d}Z"), ("email", "u{}@a.example"), ("address", "12 Oak{} Street")):
+        n = 1000 if "{:03d}" in make else 20_000
+        got = {personal._key(kind, s.make(kind, make.format("".join(chr(97 + int(d)) for d in str(i)) if kind == "address" else i))) for i in range(n)}
+        assert len(got) == n, kind
+    assert s.make("phone", "+49 30 1234567").replace(" ", "") == s.make("phone", "+49 301234567").replace(" ", "")
+    a, b = s.replace("Olga Gremik saw Anna Feldmann.")[0], s.replace("Feldmann, Anna wrote to x. Also Olga Gremik")[0]
+    assert a.split(" saw ")[0] in b and ", ".join(reversed(a.split(" saw ")[1].rstrip(".").split(" "))) in b
+    assert personal.Surrogates(b"other").make("name", "Anna Feldmann") != s.make("name", "Anna Feldmann")
+    with pytest.raises(ValueError):
+        personal.Surrogates(b"")
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["Dear Mr. Kwame Mensah, hello", "Dr. Priyanka Okafor called", "Иван Петров пришёл", "спросил А. С. Пушкин", "联系人:王小明", "王小明先生来了", "山田太郎さんへ", "김민수 씨", "السيد محمد علي", "Γιώργος Παπαδόπουλος είπε", "श्री रमेश कुमार", "Signed-off-by: Nguyen Van Anh <x>", "Employee: Chidi Adeyemi"],
+)
+def test_names_of_many_scripts(text):
+    assert [k for _, _, k in personal.entities(text)] == ["name"]
+    new, n = personal.Surrogates(b"k").replace(text)
+    assert n == 1 and new != text and personal._script(new) == personal._script(text)
+
+
+def test_long_local_parts_are_found_whole():
+    text = "x " + "a." * 400 + "b@mail.example, c"
+    assert personal.entities(text) == [(2, len(text) - 3, "email")]
