@@ -330,3 +330,48 @@ def test_names_of_many_scripts(text):
 def test_long_local_parts_are_found_whole():
     text = "x " + "a." * 400 + "b@mail.example, c"
     assert personal.entities(text) == [(2, len(text) - 3, "email")]
+
+
+MIT_TEXT = """Copyright (c) 2020 A. Person
+
+Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the
+Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software,
+and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be
+included in all copies or substantial portions of the Software."""
+APACHE_HEAD = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0"""
+GPL_HEAD = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU {}General Public License as published by\nthe Free Software Foundation, {}."
+
+
+def comment(text, mark="# "):
+    return "\n".join(mark + x for x in text.split("\n")) + "\nx = 1\n"
+
+
+@pytest.mark.parametrize(
+    ("path", "text", "want"),
+    [
+        ("LICENSE", "MIT License\n\n" + MIT_TEXT, "MIT"), ("a.py", comment(MIT_TEXT), "MIT"), ("a.py", comment("\n".join(MIT_TEXT.split())), "MIT"), ("a.py", comment("\n".join(["words of a banner"] * 60) + "\n" + APACHE_HEAD), "Apache-2.0"),
+        ("a.c", "/*\n" + APACHE_HEAD + "\n */\nint x;\n", "Apache-2.0"), ("a.py", comment(GPL_HEAD.format("", "either version 3 of the License, or\n(at your option) any later version")), "GPL-3.0-or-later"),
+        ("a.py", comment(GPL_HEAD.format("", "version 2 of the License")), "GPL-2.0-only"), ("a.py", comment(GPL_HEAD.format("Lesser ", "either\nversion 2.1 of the License, or (at your option) any later version")), "LGPL-2.1-or-later"),
+        ("a.py", comment(GPL_HEAD.format("Affero ", "version 3 of the License")), "AGPL-3.0-only"), ("a.rs", comment("\n".join(["x"] * 90) + "\nSPDX-License-Identifier: MIT OR Apache-2.0", "// "), "MIT OR Apache-2.0"),
+        ("a.rs", "// SPDX-License-Identifier: GPL-2.0-or-later\n", "GPL-2.0-or-later"), ("a.rs", "// SPDX-License-Identifier: (GPL-2.0+ AND BSL-1.0) OR GPL-2.0 WITH x-exception\n", "(GPL-2.0-or-later AND BSL-1.0) OR GPL-2.0-only WITH x-exception"),
+        ("package.json", '{"license": "CC0-1.0"}', "CC0-1.0"), ("a.py", "# see the General Public License of others\nx = 1\n", None), ("LICENSE", "All rights reserved; nothing is granted.", None), ("a.rs", "// SPDX-License-Identifier: LGPL-3.0\n", "LGPL-3.0-only"),
+        ("a.py", "# one\n" * 60 + "__license__ = 'MIT'\n", "MIT"), ("a.py", "def f():\n    pass\n__license__ = 'MIT'\n", None),
+    ],
+)
+def test_public_licences(path, text, want):
+    assert lic.file_license(path, text) == want
+
+
+def test_licence_files_on_this_machine():
+    """Of the distinct licence files of installed packages, nearly all state a licence that is named."""
+    import glob
+    import sys
+
+    texts = {open(f, encoding="utf8", errors="replace").read() for f in glob.glob(f"{sys.prefix}/lib/python3*/site-packages/*.dist-info/**/LICEN[CS]E*", recursive=True) if f.endswith(("E", ".txt", ".md", ".rst"))}
+    texts = {t for t in texts if len(t) > 400}
+    if len(texts) < 10:
+        pytest.skip("too few licence files here")
+    assert sum(lic.file_license("LICENSE", t) is not None for t in texts) >= 0.95 * len(texts)
