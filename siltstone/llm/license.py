@@ -238,7 +238,7 @@ def compile_template(template: str) -> re.Pattern:
     out, names = [], 0
     for part in re.split(r"(<<\w>>|[\[\]()|]|\s+)", template):
         if part == "<<l>>":
-            out.append(rf"(?P<l{names}>[A-Za-z](?:[^\n.;·|]|\.(?=\d)){{1,90}}?)")
+            out.append(rf"(?P<l{names}>[A-Za-z(](?:[^\n.;·|]|\.(?=\d)){{1,90}}?)")
             names += 1
         elif part == "<<x>>":
             out.append(r"\S[\s\S]*?")
