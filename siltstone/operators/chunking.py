@@ -29,7 +29,7 @@ def pack_stream(records: DataFrame, order: list[Column] | None = None, *, seq_le
         raise ValueError("the overlap must be smaller than the sequence")
     step = seq_len - overlap
     docs = records.where(F.size("token_ids") > 0).withColumn("_len", F.size("token_ids"))
-    docs = global_positions(docs, order or _curriculum_keys(), "_len")
+    docs = global_positions(docs, order or _curriculum_keys(), "_len", narrow=not lengths_only)
     if total is None:
         total = docs.agg(F.coalesce(F.sum("_len"), F.lit(0))).first()[0]
     full = (total - seq_len) // step + 1 if total >= seq_len else 0
@@ -37,14 +37,18 @@ def pack_stream(records: DataFrame, order: list[Column] | None = None, *, seq_le
     start, end = F.col("start"), F.col("start") + F.col("_len")
     lowest = F.greatest(F.lit(0), F.floor((start - seq_len) / step) + 1).cast("long")
     highest = F.least(F.floor((end - 1) / step), F.lit(n_chunks - 1)).cast("long")
-    met = docs.where(lowest <= highest).withColumn("chunk_id", F.explode(F.sequence(lowest, highest)))
-    begin = F.col("chunk_id") * step
-    a, b = F.greatest(start, begin), F.least(end, begin + seq_len)
-    met = met.where(a < b)
-    part = [a.alias("at"), (b - a).alias("n"), F.col("ord").alias("ord")]
-    if not lengths_only:
-        part.append(F.slice("token_ids", (a - start + 1).cast("int"), (b - a).cast("int")).alias("x"))
-    g = met.select("chunk_id", F.struct(*part).alias("p")).groupBy("chunk_id")
+    # A record's slices are cut before it is exploded, so no exploded row carries the whole record.
+    docs = docs.select("ord", "start", "_len", F.col("token_ids") if not lengths_only else F.lit(None).alias("token_ids"), lowest.alias("_lo"), highest.alias("_hi")).where("_lo <= _hi")
+
+    def piece(c: Column) -> Column:
+        a, b = F.greatest(start, c * step), F.least(end, c * step + seq_len)
+        part = [a.alias("at"), (b - a).alias("n"), F.col("ord").alias("ord")]
+        if not lengths_only:
+            part.append(F.slice("token_ids", (a - start + 1).cast("int"), F.greatest(b - a, F.lit(0)).cast("int")).alias("x"))
+        return F.struct(c.alias("chunk_id"), F.struct(*part).alias("p"))
+
+    met = docs.select(F.explode(F.transform(F.sequence("_lo", "_hi"), piece)).alias("e")).where("e.p.n > 0")
+    g = met.select("e.chunk_id", "e.p").groupBy("chunk_id")
     if lengths_only:
         out = g.agg(F.sum("p.n").alias("n"), F.min_by("p.ord", "p.at").alias("first"))
         return out.select("chunk_id", (F.lit(seq_len) - F.col("n")).cast("int").alias("n_pad"), "first")

@@ -199,4 +199,7 @@ def size_filter(size: Column, floor: int, cap: int) -> Column:
 def first_text_files(files: DataFrame, limit: int = 50) -> DataFrame:
     """The first ``limit`` decodable files of each repository by ``ord`` (what a licence probe reads)."""
     w = Window.partitionBy("repository").orderBy("ord")
-    return files.where(F.col("content").isNotNull() & ~is_corrupted(F.col("content"))).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= limit).drop("_n")
+    # Ranked by keys alone; a repository may hold any share of the rows, whose contents stay where they are.
+    readable = files.where(F.col("content").isNotNull() & ~is_corrupted(F.col("content"))).select("repository", "ord")
+    first = readable.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= limit).select("ord")
+    return files.join(first, "ord", "left_semi")

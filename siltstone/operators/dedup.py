@@ -28,25 +28,33 @@ def mark_first_wins(df: DataFrame, key: str, order: str = "ord", flag: str = "du
     return out.withColumn(flag, F.coalesce(F.col("_first") < F.col(order), F.lit(False))).drop("_first")
 
 
-#: Hashes of a repository up to which its signature is made of them all at once.
-SIGNATURE_HASHES = 100_000
-
-
 def repository_signatures(files: DataFrame) -> DataFrame:
     """``repository, signature``: hash of the repository's sorted distinct file hashes, one a line.
 
-    Hashes are sorted in buckets of their first three digits, whose order is that of the whole. A
-    repository with more than ``SIGNATURE_HASHES`` of them has a digest a bucket in place of the
-    bucket's hashes, so no task gathers a repository of any size; equal content still means equal
-    signatures, as the number of hashes decides on the form.
+    Hashes are sorted in buckets of their first three digits, whose order is that of the whole; the
+    buckets of a repository then stream through one hash in their order, so that a task holds a
+    batch of buckets and never a repository, whatever its size.
     """
     distinct = files.where("hash <> ''").select("repository", "hash").distinct()
-    parts = distinct.groupBy("repository", F.substring("hash", 1, 3).alias("b")).agg(F.count(F.lit(1)).alias("n"), F.array_join(F.sort_array(F.collect_list("hash")), "\n").alias("h"))
-    total = distinct.groupBy("repository").agg(F.count(F.lit(1)).alias("total"))
-    part = F.when(F.col("total") <= SIGNATURE_HASHES, F.col("h")).otherwise(F.sha2("h", 256))
-    by = parts.join(total, "repository").select("repository", F.struct("b", part.alias("h")).alias("p"))
-    lines = F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["h"]), "\n")
-    return by.groupBy("repository").agg(F.sha2(lines, 256).alias("signature"))
+    parts = distinct.groupBy("repository", F.substring("hash", 1, 3).alias("b")).agg(F.array_join(F.sort_array(F.collect_list("hash")), "\n").alias("h"))
+
+    def stream(batches):
+        name, state = None, None
+        for pdf in batches:
+            done = []
+            for repository, h in zip(pdf["repository"], pdf["h"], strict=True):
+                if state is None or repository != name:
+                    if state is not None:
+                        done.append((name, state.hexdigest()))
+                    name, state = repository, hashlib.sha256()
+                else:
+                    state.update(b"\n")
+                state.update(h.encode())
+            yield pd.DataFrame(done, columns=["repository", "signature"])
+        if state is not None:
+            yield pd.DataFrame([(name, state.hexdigest())], columns=["repository", "signature"])
+
+    return parts.repartition("repository").sortWithinPartitions("repository", "b").select("repository", "h").mapInPandas(stream, "repository string, signature string")
 
 
 def duplicate_repositories(files: DataFrame) -> DataFrame:

@@ -78,7 +78,7 @@ def is_allowed(spdx: Column, allowed=ALLOWED_LICENSES, allow_unknown: bool = Fal
 def repository_license(files: DataFrame, limit: int = 50) -> DataFrame:
     """``repository, license``: the first licence file that says something, else the first SPDX tag."""
     probe = first_text_files(files, limit).select("repository", "ord", F.lower(base_name(F.col("path"))).alias("b"), F.col("content").cast("string").alias("t"))
-    named = F.when(F.col("b").isin(*LICENSE_NAMES), F.nullif(text_license(F.col("t")), F.lit(UNKNOWN)))
+    named = F.when(F.col("b").isin(*LICENSE_NAMES) | F.col("b").startswith("license"), F.nullif(text_license(F.col("t")), F.lit(UNKNOWN)))
     found = probe.select("repository", "ord", named.alias("named"), spdx_tag(F.col("t")).alias("tag"))
     per = found.groupBy("repository").agg(
         F.min_by("named", F.when(F.col("named").isNotNull(), F.col("ord"))).alias("named"), F.min_by("tag", F.when(F.col("tag").isNotNull(), F.col("ord"))).alias("tag")

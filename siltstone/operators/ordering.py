@@ -11,12 +11,21 @@ from siltstone.session import materialize
 RANK_BUCKETS = 64
 
 
-def global_positions(df: DataFrame, order: list[Column], weight: str | None = None) -> DataFrame:
+def global_positions(df: DataFrame, order: list[Column], weight: str | None = None, narrow: bool = False) -> DataFrame:
     """``pos`` (from 0) in the order, and with ``weight`` its running sum before the row as ``start``.
 
+    With ``narrow`` the rows are written once as they are and only their keys and weights take part
+    in the ordering; the positions are joined back by a row number. Use it where rows are wide.
+
     Rows are range-partitioned by the order and written once; each partition is ranked on its own
     and shifted by the sums of the partitions before it, whose number is the only thing that grows.
     """
+    if narrow:
+        rows = materialize(df.select("*", *(c.alias(f"_k{i}") for i, c in enumerate(order)), F.monotonically_increasing_id().alias("_rid")), "rows")
+        keys = rows.select("_rid", *(f"_k{i}" for i in range(len(order))), *([F.col(weight).alias("_weight")] if weight else []))
+        placed = global_positions(keys, [F.col(f"_k{i}") for i in range(len(order))], "_weight" if weight else None)
+        placed = placed.select("_rid", "pos", *(["start"] if weight else []))
+        return rows.join(placed, "_rid").drop("_rid", *(f"_k{i}" for i in range(len(order))))
     n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     keyed = df.select("*", *(c.alias(f"_o{i}") for i, c in enumerate(order)))
     names = [f"_o{i}" for i in range(len(order))]

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -144,8 +147,14 @@ def within_budget(budget: int) -> Column:
 
 
 def example_key() -> Column:
-    """A hash of all fields; the order in which examples are taken."""
-    return F.sha2(F.concat_ws("\x1f", "task", "input", "target", "text", *_META), 256)
+    """SHA-256 of the example as JSON with sorted keys; the order in which examples are taken."""
+    names = sorted(("task", "input", "target", "text", *_META))
+
+    @F.pandas_udf("string")
+    def key(*columns: pd.Series) -> pd.Series:
+        return pd.Series([hashlib.sha256(json.dumps(dict(zip(names, v, strict=True))).encode()).hexdigest() for v in zip(*columns, strict=True)], dtype=object)
+
+    return key(*names)
 
 
 def candidates(files: DataFrame, ratios: dict[str, float] | None = None, *, budget: int = 4000, fim_rate: float = 0.5) -> DataFrame:

@@ -153,7 +153,7 @@ def license_policy(spark, sf_dir):
 
 
 @query(f"""WITH {CORPUS}, p AS (SELECT *, row_number() OVER (PARTITION BY repository ORDER BY ord) AS n FROM corpus),
- f AS (SELECT repository, ord, CASE WHEN lower({BASE}) IN ({", ".join(f"'{s}'" for s in licensing.LICENSE_NAMES)}) THEN nullif({_sql_license("content")}, 'UNKNOWN') END AS named,
+ f AS (SELECT repository, ord, CASE WHEN lower({BASE}) IN ('copying', 'copying.txt', 'unlicense', 'licence', 'licence.txt') OR starts_with(lower({BASE}), 'license') THEN nullif({_sql_license("content")}, 'UNKNOWN') END AS named,
        nullif(regexp_extract(content, '{licensing.TAG}', 1), '') AS tag FROM p WHERE n <= 50)
 SELECT repository, coalesce(arg_min(named, ord) FILTER (named IS NOT NULL), arg_min(tag, ord) FILTER (tag IS NOT NULL), 'UNKNOWN') AS license FROM f GROUP BY repository""")
 def repository_license(spark, sf_dir):
@@ -595,6 +595,9 @@ def orders_by_nation(spark, sf_dir):
     return j.groupBy("n_name").agg(F.count(F.lit(1)).alias("customers"), F.round(F.sum("t"), 2).alias("total"))
 
 
+from siltstone.plans import checks  # noqa: E402, F401  registers its queries
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

@@ -43,6 +43,8 @@ def scratch_dir(spark: SparkSession) -> str:
         return shared
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isEmpty():
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("a cluster must name a shared folder in spark.checkpoint.dir")
         own = tempfile.mkdtemp(prefix="siltstone-")
         atexit.register(shutil.rmtree, own, True)
         spark.sparkContext.setCheckpointDir(own)

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import glob
+import importlib
 import os
 import urllib.request
 import zipfile
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.functions.text import EXTENSION_LANGUAGE
 from siltstone.operators.ordering import global_positions
 from siltstone.schemas import SOURCE_CATEGORIES, SOURCE_FIELDS, SOURCE_KINDS, SOURCES
 
@@ -130,35 +134,157 @@ def stage_http(source: Source, stage: str) -> str:
     return target
 
 
-STAGERS = {"local": stage_local, "github": stage_github, "http": stage_http}
+#: Rows of a dataset that are staged at most (the reference limit of this source kind).
+DATASET_ROWS = 5000
+_EXTENSION_OF = {v: k for k, v in reversed(EXTENSION_LANGUAGE.items())}
+
+
+def _module(name: str):
+    try:
+        return importlib.import_module(name)
+    except ImportError:
+        return None
+
+
+def stage_dataset(source: Source, stage: str, load=None) -> str:
+    """A dataset of the public hub as one file a row, named ``example_000000.ext`` in the order of the rows.
+
+    ``load(location)`` gives the rows as dictionaries; without it the optional ``datasets`` package does.
+    """
+    if load is None:
+        hub = _module("datasets")
+        if hub is None:
+            raise SourceError("the datasets package is not installed")
+        load = lambda location: hub.load_dataset(location, split="train", streaming=True)
+    target = os.path.join(stage, source.id.replace("/", "_").replace(":", "_"))
+    os.makedirs(target, exist_ok=True)
+    ext = _EXTENSION_OF.get(source.languages[0] if source.languages else "python", "txt")
+    n = 0
+    for row in load(source.location):
+        text = next((row[f] for f in TEXT_FIELDS if row.get(f)), None)
+        if isinstance(text, str) and text.strip():
+            with open(os.path.join(target, f"example_{n:06d}.{ext}"), "w", encoding="utf-8", newline="") as f:
+                f.write(text)
+            n += 1
+            if n == DATASET_ROWS:
+                break
+    if not n:
+        raise SourceError(f"no text in {source.location}")
+    return target
+
+
+STAGERS = {"local": stage_local, "github": stage_github, "http": stage_http, "huggingface": stage_dataset}
+
+
+def available(kind: str) -> bool:
+    """Whether a source kind can be staged here: the hub needs an optional package, the others nothing."""
+    return kind in STAGERS and (kind != "huggingface" or _module("datasets") is not None)
+
+
+#: Bytes of files that one batch of a scan holds.
+SCAN_BATCH = 32 << 20
+_SCANNED = "repository string, source string, license_hint string, path string, content binary, size long"
+
+
+def _entries(root: str, inside: str | None = None):
+    """Path below ``root`` and place of every regular file, whatever its name; links are left out.
+
+    ``inside`` restricts the walk to one entry of ``root``. Roots with a scheme go through Arrow's file systems.
+    """
+    if "://" in root and not root.startswith("file://"):
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(root)
+        at = f"{base}/{inside}" if inside else base
+        info = system.get_file_info(at)
+        found = [info] if info.type == fs.FileType.File else system.get_file_info(fs.FileSelector(at, recursive=True))
+        for f in found:
+            if f.type == fs.FileType.File:
+                yield f.path[len(base) :].lstrip("/"), (system, f.path)
+        return
+    base = os.path.abspath(root.removeprefix("file://"))
+    todo = [os.path.join(base, inside) if inside else base]
+    while todo:
+        at = todo.pop()
+        if os.path.islink(at) and at != base:
+            continue
+        if os.path.isfile(at):
+            yield os.path.relpath(at, base).replace(os.sep, "/"), (None, at)
+        elif os.path.isdir(at):
+            todo += sorted((e.path for e in os.scandir(at)), reverse=True)
+
+
+def _top(root: str) -> list[str]:
+    if "://" in root and not root.startswith("file://"):
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(root)
+        return sorted(f.base_name for f in system.get_file_info(fs.FileSelector(base)))
+    return sorted(os.listdir(os.path.abspath(root.removeprefix("file://"))))
+
+
+def scan_folders(spark: SparkSession, roots: list[tuple[str, str, str, str]]) -> DataFrame:
+    """``repository, source, license_hint, path, content, size`` of all files of ``(repository, root, source, hint)``.
+
+    One scan for any number of roots, which executors list and read in parallel: tasks take the
+    entries at the top of the roots, walk them, and give their files in batches of bounded size.
+    Every regular file counts, whatever its name (Spark's own listing hides names that start with
+    ``_`` or ``.``); symbolic links do not, and files that can't be read are left out.
+    """
+
+    def top(batches):
+        for pdf in batches:
+            rows = [(r.repository, r.root, r.source, r.hint, e) for r in pdf.itertuples() for e in _top(r.root)]
+            yield pd.DataFrame(rows, columns=["repository", "root", "source", "hint", "entry"])
+
+    def read(batches):
+        rows, held = [], 0
+        columns = ["repository", "source", "license_hint", "path", "content", "size"]
+        for pdf in batches:
+            for r in pdf.itertuples():
+                for path, (system, full) in _entries(r.root, r.entry):
+                    try:
+                        with open(full, "rb") if system is None else system.open_input_stream(full) as f:
+                            data = f.read()
+                    except OSError:
+                        continue
+                    rows.append((r.repository, r.source, r.hint, path, data, len(data)))
+                    held += len(data)
+                    if held >= SCAN_BATCH:
+                        yield pd.DataFrame(rows, columns=columns)
+                        rows, held = [], 0
+        yield pd.DataFrame(rows, columns=columns)
+
+    want = spark.sparkContext.defaultParallelism
+    given = spark.createDataFrame(roots, "repository string, root string, source string, hint string")
+    tops = given.repartition(min(max(1, len(roots)), want), "root").mapInPandas(top, "repository string, root string, source string, hint string, entry string")
+    return tops.repartition(want, "root", "entry").mapInPandas(read, _SCANNED)
 
 
 def scan_folder(spark: SparkSession, root: str, repository: str, source: str = "local") -> DataFrame:
-    """``repository, source, path, content, size`` of all files below ``root``; only sizes and paths are read until content is asked for."""
-    base = "file:" + os.path.abspath(root).rstrip("/") + "/"
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    return df.select(F.lit(repository).alias("repository"), F.lit(source).alias("source"), F.substring("path", len(base) + 1, 100_000).alias("path"), "content", F.col("length").alias("size"))
+    """``repository, source, path, content, size`` of all files below ``root``."""
+    return scan_folders(spark, [(repository, root, source, "")]).drop("license_hint")
 
 
 def with_ord(files: DataFrame) -> DataFrame:
     """``ord``: the place of a file by repository and path."""
-    return global_positions(files, [F.col("repository"), F.col("path")]).withColumnRenamed("pos", "ord")
+    return global_positions(files, [F.col("repository"), F.col("path")], narrow=True).withColumnRenamed("pos", "ord")
 
 
 def ingest(spark: SparkSession, sources: SourceList, stage: str) -> DataFrame:
-    """Files of all enabled sources that can be staged; the others are left out."""
-    out = None
+    """Files of all enabled sources that can be staged, in one scan; the others are left out."""
+    roots = []
     for s in sources.enabled():
+        if not available(s.kind):
+            continue
         try:
             root = STAGERS[s.kind](s, stage)
-            df = scan_folder(spark, root, os.path.basename(root.rstrip("/")) if s.kind == "local" else s.location, s.kind)
-        except (SourceError, KeyError):
+        except SourceError:
             continue
-        df = df.withColumn("license_hint", F.lit(s.license_hint or ""))
-        out = df if out is None else out.unionByName(df)
-    if out is None:
+        roots.append((os.path.basename(root.rstrip("/")) if s.kind == "local" else s.location, root, s.kind, s.license_hint or ""))
+    if not roots:
         raise SourceError("no source could be staged")
-    return with_ord(out)
+    return with_ord(scan_folders(spark, roots))
 
 
 def discover(root: str) -> list[tuple[str, str]]:
@@ -205,6 +331,17 @@ def tokenizer_corpus(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def text_files(spark: SparkSession, pattern: str) -> DataFrame:
-    """``path, text`` of the files of a glob, blank ones left out."""
-    df = spark.read.option("recursiveFileLookup", "false").text(pattern, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    """``ord, path, text`` of the files of a glob (``**`` for any depth), in the order of their paths; blank ones left out."""
+    found = sorted(f for f in glob.glob(pattern, recursive=True) if os.path.isfile(f))
+
+    def read(batches):
+        for pdf in batches:
+            texts = []
+            for p in pdf["path"]:
+                with open(p, encoding="utf-8", errors="replace") as f:
+                    texts.append(f.read())
+            yield pdf.assign(text=texts)
+
+    df = spark.createDataFrame(list(enumerate(found)), "ord long, path string")
+    df = df.repartition(max(1, min(len(found), spark.sparkContext.defaultParallelism)), "path").mapInPandas(read, "ord long, path string, text string")
     return df.where(F.regexp_replace("text", r"(?U)\s", "") != "")

@@ -218,6 +218,23 @@ def chunk_at(dataset: DataFrame, idx: int) -> DataFrame:
     return dataset.join(last, dataset["idx"] == last["last"] + 1 + idx).drop("last")
 
 
+def seek_chunk(spark: SparkSession, folder: str, idx: int) -> DataFrame:
+    """``idx, shard, local_idx, token_ids`` of one chunk (negative: from the end), read from its shard alone.
+
+    The manifest tells which shard holds it and the shard's index where its ids are, so nothing else
+    is read; an index out of range gives no row.
+    """
+    sizes = [(s["file"], s["chunks"]) for s in read_manifest(folder)["shards"]]
+    total = sum(n for _, n in sizes)
+    at = idx + total if idx < 0 else idx
+    rows, base = [], 0
+    for shard, (name, n) in enumerate(sizes):
+        if base <= at < base + n:
+            rows.append((at, shard, at - base, [int(x) for x in Shard(os.path.join(folder, name))[at - base]]))
+        base += n
+    return spark.createDataFrame(rows, "idx long, shard int, local_idx int, token_ids array<int>")
+
+
 def read_manifest(folder: str) -> dict:
     with open(os.path.join(folder, "manifest.json"), encoding="utf-8") as f:
         return json.load(f)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -79,6 +80,13 @@ def write_raw(files: DataFrame, folder: str, by_split: bool = True) -> int:
     return df.mapInPandas(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
+def append_log(path: str, step: int, metrics: dict, kind: str = "train") -> None:
+    """One JSON line of a training run: the step, its kind, and the metrics."""
+    os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
+    with open(path, "a", encoding="utf-8") as f:
+        f.write(json.dumps({"step": step, "kind": kind, **metrics}) + "\n")
+
+
 TRAIN_LOG = "step long, kind string, loss double, val_loss double, lr double, tokens_per_second double"
 
 

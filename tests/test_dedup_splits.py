@@ -24,14 +24,13 @@ def test_duplicate_repositories(spark):
     assert got == {"a": True, "b": False, "c": True}
 
 
-def test_signature_of_large_repositories(spark, monkeypatch):
-    rows = [(r, hashlib.sha256(str(i).encode()).hexdigest()) for r, n in (("a", 40), ("b", 40), ("c", 41)) for i in range(n)]
+def test_signature_of_large_repositories(spark):
+    """One form at every size: the hash of all sorted hashes, streamed."""
+    rows = [(r, hashlib.sha256(str(i).encode()).hexdigest()) for r, n in (("a", 40), ("b", 40), ("c", 41), ("large", 20_000)) for i in range(n)]
     df = spark.createDataFrame(rows, "repository string, hash string")
-    plain = {r.repository: r.signature for r in dedup.repository_signatures(df).collect()}
-    assert plain["a"] == hashlib.sha256("\n".join(sorted(h for r, h in rows if r == "a")).encode()).hexdigest()
-    monkeypatch.setattr(dedup, "SIGNATURE_HASHES", 10)
-    large = {r.repository: r.signature for r in dedup.repository_signatures(df).collect()}
-    assert large["a"] == large["b"] != large["c"] and large["a"] != plain["a"]
+    got = {r.repository: r.signature for r in dedup.repository_signatures(df).collect()}
+    assert got == {k: hashlib.sha256("\n".join(sorted(h for r, h in rows if r == k)).encode()).hexdigest() for k in got} and len(got) == 4
+    assert got["a"] == got["b"] != got["c"]
 
 
 def _plain_minhash(text, perms=64):

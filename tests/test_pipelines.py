@@ -30,7 +30,8 @@ def write(root, files):
 def tree(tmp_path):
     root = str(tmp_path / "in")
     base = {"mod.py": MOD, "test_mod.py": "import mod\n\n\ndef test_add():\n    assert mod.add(1, 2) == 3\n", "README.md": "# Project\n\nWhat it does and why.\n"}
-    write(root, {f"alpha/{k}": v.replace("Module", "Alpha") for k, v in base.items()} | {"alpha/LICENSE": MIT, "alpha/node_modules/x.js": "var x = 1; // vendored", "alpha/b.bin": b"\0\1" * 20})
+    write(root, {f"alpha/{k}": v.replace("Module", "Alpha") for k, v in base.items()} | {"alpha/LICENSE": MIT, "alpha/node_modules/x.js": "var x = 1; // vendored", "alpha/b.bin": b"\0\1" * 20, "alpha/pkg/__init__.py": "from mod import add  # of the package\n", "alpha/.github/x.yml": "on: [push, pull_request]\n"})
+    os.symlink(os.path.join(root, "alpha/mod.py"), os.path.join(root, "alpha/link.py"))
     write(root, {f"beta/{k}": v.replace("Module", "Beta module").replace("a + b", "b + a") for k, v in base.items()} | {"beta/LICENSE": MIT, "beta/util.py": "def util(value):\n    return value * 2\n"})
     write(root, {f"gplrepo/{k}": v + "# gpl\n" for k, v in base.items()} | {"gplrepo/LICENSE": GPL})
     return root
@@ -46,6 +47,7 @@ def test_corpus_pipeline(spark, tree, tmp_path):
     drops = {r.drop_reason: r.n for r in got.drops.collect()}
     assert drops["vendor"] >= 1 and drops["binary"] >= 1 and drops["license"] >= 3
     files = got.files.collect()
+    assert {"pkg/__init__.py", ".github/x.yml"} <= {f.path for f in files} and "link.py" not in {f.path for f in got.all_files.collect()}
     assert {f.repository for f in files} == {"alpha", "beta"} and all(f.drop_reason == "" and f.created_at == "2024-01-01" for f in files)
     assert len({f.hash for f in files}) == len(files)
     repos = {r.repository: r for r in got.repos.collect()}
@@ -212,3 +214,13 @@ def test_command_line(spark, tree, tmp_path, monkeypatch):
     assert cli.main(["corpus-download", str(tmp_path / "src.json"), str(tmp_path / "st")]) == 0
     write(str(tmp_path / "e"), {"r/x.bin": b"\0"})
     assert cli.main(["dataset-build", str(tmp_path / "e"), str(tmp_path / "f")]) == 2
+
+
+def test_scan_needs_one_plan_for_many_folders(spark, tmp_path):
+    for i in range(40):
+        write(str(tmp_path), {f"r{i}/_{i}.py": "x", f"r{i}/a/__init__.py": "y"})
+    d = registry.scan_folders(spark, [(f"r{i}", str(tmp_path / f"r{i}"), "local", "MIT") for i in range(40)])
+    assert d.count() == 80 and {r.license_hint for r in d.collect()} == {"MIT"}
+    assert d._jdf.queryExecution().toString().count("Union") == 0
+    with pytest.raises(registry.SourceError):
+        registry.ingest(spark, registry.SourceList([registry.Source("a", "local", str(tmp_path / "none"))]), str(tmp_path))
