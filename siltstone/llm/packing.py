@@ -4,7 +4,8 @@ Items are known by their length alone, so the search runs on the histogram of le
 has more entries than the capacity, whatever the number of items. A first-fit-decreasing pass writes
 the bins as patterns with a multiplicity; a swap-based local search then moves one item, exchanges
 one for one or two for one between underfull bins wherever that raises the sum of squared fills,
-until bins empty or no exchange helps. Items are dealt to the bins' places by their rank within a
+until bins empty or no exchange helps. All underfull bins are searched, in blocks that the executors
+treat in parallel, then the bins left over by the blocks together. Items are dealt to the bins' places by their rank within a
 length, found by salted counts, so no length may grow too large for a task.
 
 An item over the capacity is cut into full pieces and a rest; no other item is cut. NULL and empty
@@ -14,6 +15,7 @@ no rows.
 
 from __future__ import annotations
 
+import json
 from bisect import bisect_right
 from collections import Counter
 
@@ -27,8 +29,10 @@ from siltstone.session import materialize
 
 CAPACITY = 2048
 RANK_BUCKETS = 64
-#: Underfull bins that the local search holds at once; it takes all of them, block by block.
-SEARCH_BINS = 4000
+#: Pieces that one rank bucket may hold before there are more buckets.
+BUCKET_ROWS = 100_000
+#: Underfull bins of one block of the local search; all blocks are searched, each by one task.
+SEARCH_BINS = 300
 
 Pattern = tuple[tuple[int, int], ...]
 
@@ -110,23 +114,67 @@ def local_search(bins: list[list[int]], capacity: int) -> list[list[int]]:
     return bins
 
 
-def pack_histogram(hist: dict[int, int], capacity: int = CAPACITY) -> list[tuple[Pattern, int]]:
-    """Patterns with multiplicities that hold exactly ``hist``."""
-    full, loose = [], []
-    for pattern, times in first_fit_decreasing(hist, capacity):
-        (full if sum(n * k for n, k in pattern) == capacity else loose).append((pattern, times))
-    loose.sort(key=lambda p: sum(n * k for n, k in p[0]))
-    # Dealt in turn, so that every block has bins of all fills and patterns.
+def _search(bins: list[list[int]], capacity: int) -> Counter[Pattern]:
+    return Counter(tuple(sorted(Counter(b).items(), reverse=True)) for b in local_search(bins, capacity))
+
+
+def _deal(loose: list[tuple[Pattern, int]]) -> list[list[list[int]]]:
+    """Bins in blocks, dealt in turn from the least filled, so that every block has bins of all fills and patterns."""
+    loose = sorted(loose, key=lambda p: sum(n * k for n, k in p[0]))
     blocks = max(1, -(-sum(times for _, times in loose) // SEARCH_BINS))
+    out, at = [[] for _ in range(blocks)], 0
+    for pattern, times in loose:
+        one = [n for n, k in pattern for _ in range(k)]
+        for i in range(times):
+            out[(at + i) % blocks].append(list(one))
+        at += times
+    return out
+
+
+def _parallel_search(spark, blocks: list[list[list[int]]], capacity: int) -> Counter[Pattern]:
+    """The blocks searched by the executors; bins travel as lists of lengths, a few kilobytes a block."""
+
+    def run(batches):
+        for pdf in batches:
+            rows = [(json.dumps(list(_search(json.loads(b), capacity).items())),) for b in pdf["block"]]
+            yield pd.DataFrame(rows, columns=["found"])
+
+    df = spark.createDataFrame([(i, json.dumps(b)) for i, b in enumerate(blocks)], "i int, block string").repartition(len(blocks), "i")
     found: Counter[Pattern] = Counter()
-    for block in range(blocks):
-        bins, at = [], 0
-        for pattern, times in loose:
-            take = len(range((block - at) % blocks, times, blocks))
-            bins += [[n for n, k in pattern for _ in range(k)] for _ in range(take)]
-            at += times
-        found.update(tuple(sorted(Counter(b).items(), reverse=True)) for b in local_search(bins, capacity))
-    return full + sorted(found.items(), reverse=True)
+    for r in df.mapInPandas(run, "found string").collect():
+        for pattern, times in json.loads(r["found"]):
+            found[tuple((n, k) for n, k in pattern)] += times
+    return found
+
+
+def pack_histogram(hist: dict[int, int], capacity: int = CAPACITY, spark=None) -> list[tuple[Pattern, int]]:
+    """Patterns with multiplicities that hold exactly ``hist``; with a session, blocks are searched by its executors.
+
+    Bins that are still underfull after their block are few, as a block ends with its gaps gathered in
+    the bins that it drained; they are dealt anew and searched until that saves no bin.
+    """
+    full, loose = [], []
+
+    def sort(patterns) -> int:
+        nonlocal loose
+        loose = []
+        for pattern, times in patterns:
+            (full if sum(n * k for n, k in pattern) == capacity else loose).append((pattern, times))
+        return sum(times for _, times in loose)
+
+    left = sort(first_fit_decreasing(hist, capacity))
+    while left:
+        blocks = _deal(loose)
+        if spark is not None and len(blocks) > 1:
+            found = _parallel_search(spark, blocks, capacity)
+        else:
+            found = sum((_search(b, capacity) for b in blocks), Counter())
+        saved = left - sum(found.values())
+        now = sort(sorted(found.items(), reverse=True))
+        if len(blocks) == 1 or not saved or now >= left:
+            break
+        left = now
+    return full + loose
 
 
 def pieces(items: DataFrame, item_id: str, ids: str, capacity: int = CAPACITY) -> DataFrame:
@@ -141,16 +189,19 @@ def pack(items: DataFrame, item_id: str = "ord", ids: str = "token_ids", capacit
     """``item_id, piece_no, start, length, chunk_id, place``; ``place`` is the offset in the chunk."""
     p = pieces(items, item_id, ids, capacity)
     p = p.withColumn("h", F.xxhash64("item_id", "piece_no"))
-    p = materialize(p.withColumn("bucket", F.pmod("h", F.lit(RANK_BUCKETS)).cast("int")), "pieces")
+    p = materialize(p, "pieces")
+    hist = {r["length"]: r["n"] for r in p.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # No bucket of a length grows with the input: full pieces all have one length.
+    buckets = max(RANK_BUCKETS, -(-max(hist.values(), default=0) // BUCKET_ROWS))
+    p = p.withColumn("bucket", F.pmod("h", F.lit(buckets)).cast("int"))
     counts = p.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))
     ordered = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     before = counts.select("length", "bucket", F.coalesce(F.sum("n").over(ordered), F.lit(0)).alias("before"))
     within = Window.partitionBy("length", "bucket").orderBy("h", "item_id", "piece_no")
     ranked = p.join(before, ["length", "bucket"]).withColumn("rank", F.col("before") + F.row_number().over(within) - 1)
 
-    hist = {r["length"]: r["n"] for r in p.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     base, used, rows = 0, Counter(), []
-    for pattern, times in pack_histogram(hist, capacity):
+    for pattern, times in pack_histogram(hist, capacity, items.sparkSession):
         place = 0
         for n, k in pattern:
             rows.append((n, used[n], k, base, place))
