@@ -1,12 +1,14 @@
 """Problem 5: credentials embedded in source code, configuration and notes.
 
-Configuration (JSON, YAML, and assignments of any language) is parsed into key paths with the
-offsets of their values; a value is a credential if the key's last names are sensitive and the value
-has the shape of one, or if the value alone has the form that an issuer gives its tokens. Literals
+Configuration (JSON, YAML, TOML, INI, properties and XML, and assignments of any language) is parsed
+into key paths with the byte offsets of their values; a value is a credential if the name that its
+path ends with is sensitive (names that only carry a value, such as ``value`` or ``default``, give way
+to the one above) and the value has the shape of one, or if the value alone has the form that an
+issuer gives its tokens. Literals
 cut into adjacent pieces are read as one value, which begins at its first piece. Connection
 addresses, authorization values, private key blocks and notes in prose have patterns of their own.
 
-Redaction splices a marker into the original text at exactly these offsets, keeping quotes, the
+Redaction splices a marker into the original bytes at exactly these offsets, keeping quotes, the
 address around a password and the lines of a key block, so the surrounding code still parses.
 
 NULL and empty texts have no credentials; placeholders, empty values, look-ups, digests, commit ids
@@ -30,6 +32,9 @@ SENSITIVE = frozenset("password passwd pwd pass passphrase passwort secret token
 PAIRS = frozenset({("api", "key"), ("auth", "key"), ("access", "key"), ("private", "key"), ("secret", "key"), ("signing", "key"), ("encryption", "key"), ("account", "key"), ("service", "key"), ("license", "key"), ("deploy", "key"), ("master", "key"), ("webhook", "key"), ("db", "pw")})
 HARMLESS = frozenset("digest checksum hash sha sha1 sha256 sha512 md5 commit uuid guid etag integrity fingerprint revision rev ref path file name type ttl expiry expires count limit length size url field column regex pattern header label hint policy".split())
 
+# Names of a path that carry the value of the name above them.
+CARRIERS = frozenset("value values val default data content plain plaintext text string current raw literal".split())
+
 # Values whose form alone gives them away (fixed values: public token formats of issuers).
 ISSUED = re.compile(
     r"(?<![A-Za-z0-9_])(?:(?:AKIA|ASIA|AROA|AIDA)[A-Z0-9]{16}(?![A-Za-z0-9])|gh[pousr]_[A-Za-z0-9]{30,255}|github_pat_[A-Za-z0-9_]{22,255}|glpat-[A-Za-z0-9_-]{20,}|xox[abeoprs]-[A-Za-z0-9-]{10,}"
@@ -39,7 +44,7 @@ ISSUED = re.compile(
 BLOCK = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 BLOCK_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 ADDRESS = re.compile(r"\b[A-Za-z][A-Za-z0-9+.-]*://[^\s:/@\"'`<>]*:([^\s/@\"'`<>]+)@[\w\[]")
-AUTH = re.compile(r"\b(?:Basic|Bearer|Token|Digest)\s+([A-Za-z0-9+/=_.~-]{12,})|(?i:\b(?:x-[a-z-]*(?:key|token|secret|auth)[a-z-]*|private-token|api-key|apikey)\b[\"']?\s*[:=,]\s*[\"']?)([A-Za-z0-9+/=_.~-]{12,})")
+AUTH = re.compile(r"\b(?:Basic|Bearer|Token|Digest)\s+([A-Za-z0-9+/=_.~-]{12,})|(?i:\b(?:x-[a-z-]*(?:key|token|secret|auth)[a-z-]*|private-token|api-key|apikey)\b[\"']?\s*[:=,]\s*[\"']?)([^\s\"'`,;<>{}()]{8,})")
 PROSE = re.compile(r"(?i)\b(?:password|passphrase|passwd|pwd|secret|token|api key|access key|auth key|login|credentials?|passwort|contraseña|mot de passe)\b(?:[^\n`\"']{0,40}?)(?:`([^`\n]+)`|\"([^\"\n]+)\"|'([^'\n]+)')")
 PROSE_BARE = re.compile(r"(?i)\b(?:password|passphrase|passwd|pwd|pass|secret|token|api[ _-]?key|access[ _-]?key|auth[ _-]?key|secret[ _-]?key|signing[ _-]?key|private[ _-]?key)\b(?: (?:is|was|now|to|remains|for [\w ]{1,30} is))*\s*(?:[:=]|\bis\b|\bwas\b|->|→)\s*([^\s`\"',;]{8,})")
 FLAG = re.compile(r"(?i)(?<![\w-])--?(?:password|passwd|pwd|pass|secret|token|api-?key|auth-?key|access-?key|client-secret)(?:[= ]|\s+)[\"']?([^\s\"'`]{6,})|(?<!\w)-p([^\s\"'`-][^\s\"'`]{7,})|(?<![\w-])(?:-u|--user)[ =]?[\"']?[\w.-]+:([^\s\"'`@]{6,})|\b(?:IDENTIFIED BY|WITH PASSWORD|ENCRYPTED PASSWORD|PASSWORD)\s+'([^'\n]+)'|sshpass\s+-p\s*[\"']?([^\s\"']+)")
@@ -93,6 +98,14 @@ def sensitive(key: str) -> bool:
     return strong != ["token"] or ws[0] not in _DIGEST_WORDS
 
 
+def sensitive_path(path: tuple[str, ...]) -> bool:
+    """A key path that names a credential: its last name that is no mere carrier of a value."""
+    names = list(path)
+    while len(names) > 1 and names[-1].lower() in CARRIERS:
+        names.pop()
+    return bool(names) and sensitive(names[-1].rsplit(".", 1)[-1])
+
+
 def credential_like(v: str, *, strong: bool) -> bool:
     """The shape of a credential; ``strong`` when the key name alone already says so."""
     if len(v) < 6 or PLACEHOLDER.match(v) or LOOKUP.match(v) or UUID.match(v) or "://" in v:
@@ -127,7 +140,7 @@ def _json_pairs(text: str):
             if i + 1 < len(tokens) and tokens[i + 1].group() == ":":
                 key = m.group(1)
             elif i and tokens[i - 1].group() in (":", ",", "["):
-                yield ".".join([*filter(None, stack), key]), m.start() + 1, m.end() - 1
+                yield (*filter(None, stack), key), m.start() + 1, m.end() - 1
 
 
 _YAML = re.compile(r"^([ \t]*(?:- +)*)(?:([\"']?)([\w./ -]+?)\2 *:(?: +|$))?(.*)$")
@@ -148,10 +161,10 @@ def _yaml_pairs(text: str):
             comment = re.search(r"(?:^|\s)#", v) if v[:1] not in "\"'" else None
             v = (v[: comment.start()] if comment else v).rstrip()
             if m.group(3):
-                path = ".".join([*(k for _, k in stack), m.group(3)])
+                path = (*(k for _, k in stack), m.group(3))
                 stack.append((depth, m.group(3)))
             else:
-                path = ".".join(k for _, k in stack)
+                path = tuple(k for _, k in stack)
             if v:
                 if v[0] in "\"'":
                     end = v.find(v[0], 1)
@@ -162,6 +175,72 @@ def _yaml_pairs(text: str):
         at += len(line) + 1
 
 
+_SECTION = re.compile(r"^[ \t]*\[+[ \t]*([^\]\n]+?)[ \t]*\]+")
+_PAIR = re.compile(r"^[ \t]*(?:export[ \t]+)?(?P<k>[\w.\"'-]+)[ \t]*[=:][ \t]*(?P<v>\S.*)?$")
+
+
+def _ini_pairs(text: str):
+    """``(path, start, stop)`` of the values of TOML, INI, properties and env files, by sections."""
+    section: tuple[str, ...] = ()
+    at = 0
+    for line in text.split("\n"):
+        body = line.rstrip("\r")
+        if m := _SECTION.match(body):
+            section = tuple(x.strip("\"' ") for x in m.group(1).split("."))
+        elif (m := _PAIR.match(body)) and m.group("v") and body.lstrip()[:1] not in "#;!":
+            path, v, s = (*section, m.group("k").strip("\"'")), m.group("v"), m.start("v")
+            if inner := list(re.finditer(rf"([\w-]+)[ \t]*=[ \t]*({_STR})", v)) if v[0] == "{" else []:
+                for x in inner:  # an inline table
+                    yield (*path, x.group(1)), at + s + x.start(2) + 1, at + s + x.end(2) - 1
+            elif lit := _LITERAL.match(v):
+                yield path, at + s + 1, at + s + lit.end() - 1
+            else:
+                plain = re.split(r"\s[#;]", v)[0].rstrip()
+                yield path, at + s, at + s + len(plain)
+        at += len(line) + 1
+
+
+_TAG = re.compile(r"<!--[\s\S]*?-->|<!\[CDATA\[[\s\S]*?\]\]>|<(/?)([A-Za-z_][\w.:-]*)((?:\s+[\w.:-]+\s*=\s*(?:\"[^\"]*\"|'[^']*'))*)\s*(/?)>")
+_ATTRIBUTE = re.compile(r"([\w.:-]+)\s*=\s*(\"[^\"]*\"|'[^']*')")
+
+
+def _xml_pairs(text: str):
+    """``(path, start, stop)`` of attributes and of the text of elements; ``name`` or ``key`` attributes name a ``value`` beside them."""
+    stack: list[str] = []
+    last = 0
+    for m in _TAG.finditer(text):
+        if m.group(2) is None:
+            continue
+        body = text[last : m.start()]
+        if stack and body.strip():
+            a = last + len(body) - len(body.lstrip())
+            yield tuple(stack), a, a + len(body.strip())
+        last = m.end()
+        if m.group(1):
+            while stack and stack.pop() != m.group(2):
+                pass
+            continue
+        given = {x.group(1).lower(): x for x in _ATTRIBUTE.finditer(m.group(3))}
+        label = next((given[k].group(2)[1:-1] for k in ("name", "key", "id", "property") if k in given), None)
+        for k, x in given.items():
+            a = m.start(3) + x.start(2) + 1
+            yield (*stack, m.group(2), *([label] if label and k in CARRIERS else []), k), a, a + len(x.group(2)) - 2
+        if not m.group(4):
+            stack.append(label or m.group(2))
+
+
+_FORMS = {"json": _json_pairs, "yaml": _yaml_pairs, "toml": _ini_pairs, "ini": _ini_pairs, "xml": _xml_pairs}
+_FORM_OF = {"toml": "toml", "ini": "ini", "cfg": "ini", "conf": "ini", "properties": "ini", "env": "ini", "xml": "xml", "config": "xml", "plist": "xml", "json": "json", "yml": "yaml", "yaml": "yaml"}
+
+
+def form_of(path: str | None, language: str | None) -> str | None:
+    """The configuration format of a file: its language, else what its extension says."""
+    if language in ("json", "yaml"):
+        return language
+    ext = (path or "").lower().replace("\\", "/").rsplit("/", 1)[-1].rpartition(".")[2]
+    return _FORM_OF.get(ext) if language in (None, "unknown", "text") else None
+
+
 def _joined(text: str, start: int, stop: int):
     """The literal at ``start`` (with quotes) and those cut off after it: its value and pieces."""
     pieces, value, at = [(start + 1, stop - 1)], text[start + 1 : stop - 1], start
@@ -212,7 +291,7 @@ def _scan(text: str, language: str | None, add) -> None:
                 add(m.start(g), m.start(g) + len(v), kind)
 
 
-def find_secrets(text: str | None, language: str | None = None) -> list[tuple[int, int, str, list[tuple[int, int]]]]:
+def find_secrets(text: str | None, language: str | None = None, path: str | None = None) -> list[tuple[int, int, str, list[tuple[int, int]]]]:
     """``(start, stop, kind, pieces)`` of each credential; ``pieces`` are the spans to redact."""
     if not text:
         return []
@@ -221,20 +300,17 @@ def find_secrets(text: str | None, language: str | None = None) -> list[tuple[in
         for m in BLOCK.finditer(text):
             end = BLOCK_END.search(text, m.end())
             body_end = end.start() if end else len(text)
-            if re.search(r"[A-Za-z0-9+/=]{16,}", text[m.end() : min(body_end, m.end() + 400)]):
-                spans = [(m.end() + x.start(), m.end() + x.end()) for x in re.finditer(r"[A-Za-z0-9+/=]{8,}", text[m.end() : body_end])]
+            spans = [(m.end() + x.start(), m.end() + x.end()) for x in re.finditer(r"[A-Za-z0-9+/=]{8,}", text[m.end() : body_end])]
+            if any(b - a >= 16 for a, b in spans):
                 found.append((m.start(), end.end() if end else body_end, "private_key", spans))
 
     def add(a: int, b: int, kind: str, pieces=None):
         found.append((a, b, kind, pieces or [(a, b)]))
 
-    if language == "json":
-        for path, a, b in _json_pairs(text):
-            if sensitive(path.rsplit(".", 1)[-1]) and credential_like(text[a:b], strong=True):
-                add(a, b, "config_value")
-    elif language == "yaml":
-        for path, a, b in _yaml_pairs(text):
-            if sensitive(path.rsplit(".", 1)[-1]) and credential_like(text[a:b], strong=True):
+    form = form_of(path, language)
+    if form:
+        for keys, a, b in _FORMS[form](text):
+            if sensitive_path(keys) and credential_like(text[a:b], strong=True):
                 add(a, b, "config_value")
     _scan(text, language, add)
     found.sort(key=lambda f: (f[0], -f[1]))
@@ -245,9 +321,9 @@ def find_secrets(text: str | None, language: str | None = None) -> list[tuple[in
     return out
 
 
-def redact(text: str | None, language: str | None = None) -> tuple[str | None, int]:
+def redact(text: str | None, language: str | None = None, path: str | None = None) -> tuple[str | None, int]:
     """The text with each credential's characters replaced in place, and the number of credentials."""
-    found = find_secrets(text, language)
+    found = find_secrets(text, language, path)
     if not found:
         return text, 0
     out, last = [], 0
@@ -261,16 +337,23 @@ def redact(text: str | None, language: str | None = None) -> tuple[str | None, i
 _FOUND = "array<struct<kind: string, start: int, stop: int, line_no: int>>"
 
 
+def _located(text: str | None, language: str | None, path: str | None) -> list[tuple[str, int, int, int]]:
+    """``(kind, start, stop, line_no)`` with offsets in the text's UTF-8 bytes."""
+    found = find_secrets(text, language, path)
+    at = (lambda i: i) if not found or text.isascii() else (lambda i: len(text[:i].encode("utf-8", "surrogatepass")))
+    return [(f[2], at(f[0]), at(f[1]), 1 + text.count("\n", 0, f[0])) for f in found]
+
+
 def secrets_in(records: DataFrame) -> DataFrame:
-    """``ord, kind, start, stop, line_no`` of every credential."""
+    """``ord, kind, start, stop, line_no`` of every credential; ``start`` and ``stop`` count bytes."""
 
     @F.pandas_udf(_FOUND)
-    def scan(texts: pd.Series, langs: pd.Series) -> pd.Series:
-        return pd.Series([[(f[2], f[0], f[1], 1 + t.count("\n", 0, f[0])) for f in find_secrets(t, g)] for t, g in zip(texts, langs, strict=True)], dtype=object)
+    def scan(texts: pd.Series, langs: pd.Series, paths: pd.Series) -> pd.Series:
+        return pd.Series([_located(t, g, p) for t, g, p in zip(texts, langs, paths, strict=True)], dtype=object)
 
     lang = canonical_language(F.col("language"), F.col("path"))
-    r = spread(records.select("ord", "text", lang.alias("lang")))
-    return r.select("ord", F.explode(scan("text", "lang")).alias("s")).select("ord", "s.*")
+    r = spread(records.select("ord", "text", "path", lang.alias("lang")))
+    return r.select("ord", F.explode(scan("text", "lang", "path")).alias("s")).select("ord", "s.*")
 
 
 def secret_lines(records: DataFrame) -> DataFrame:
@@ -282,9 +365,9 @@ def redact_records(records: DataFrame) -> DataFrame:
     """``ord, text, secrets_redacted`` of the records that hold credentials."""
 
     @F.pandas_udf("text string, n int")
-    def clean(texts: pd.Series, langs: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([redact(t, g) for t, g in zip(texts, langs, strict=True)], columns=["text", "n"])
+    def clean(texts: pd.Series, langs: pd.Series, paths: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([redact(t, g, p) for t, g, p in zip(texts, langs, paths, strict=True)], columns=["text", "n"])
 
     lang = canonical_language(F.col("language"), F.col("path"))
-    r = spread(records.select("ord", "text", lang.alias("lang")))
-    return r.select("ord", clean("text", "lang").alias("c")).where("c.n > 0").select("ord", "c.text", F.col("c.n").alias("secrets_redacted"))
+    r = spread(records.select("ord", "text", "path", lang.alias("lang")))
+    return r.select("ord", clean("text", "lang", "path").alias("c")).where("c.n > 0").select("ord", "c.text", F.col("c.n").alias("secrets_redacted"))
