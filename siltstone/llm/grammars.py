@@ -18,7 +18,7 @@ EXPR_JS = """
 expr = assign { ',' assign } ;
 assign = arrow | cond ;
 cond = unary { binop unary } [ '?' assign ':' assign ] | unary { binop unary } binop arrow | unary { binop unary } '?' assign ':' arrow ;
-arrow = [ 'async' ] ( ident | '(' [ params ] ')' [ rettype ] ) '=>' ( !'{' assign | block ) ;
+arrow = [ 'async' ] ( ident | [ tparams ] '(' [ params ] ')' [ rettype ] ) '=>' ( !'{' assign | block ) ;
 unary = { prefix } postfix ;
 prefix = '!' | '-' | '+' | '~' | '++' | '--' | 'typeof' | 'void' | 'delete' | 'await' | 'new' | 'yield' ;
 postfix = primary { '.' anyname | '?.' ( anyname | '[' expr ']' | args ) | '[' expr ']' | args | TEMPLATE | '++' | '--' | postmore } ;
@@ -28,25 +28,25 @@ primary = ident | NUM | STR | TEMPLATE | REGEX | 'this' | 'null' | 'true' | 'fal
 array = '[' { ',' } [ arg { ',' { ',' } arg } { ',' } ] ']' ;
 object = '{' [ prop { ',' prop } [ ',' ] ] '}' ;
 prop = '...' assign | propname ':' assign | ident [ '=' assign ] | method ;
-method = { 'async' | '*' | 'get' | 'set' | 'static' } propname '(' [ params ] ')' [ rettype ] block ;
+method = { 'async' | '*' | 'get' | 'set' | 'static' } propname [ tparams ] '(' [ params ] ')' [ rettype ] block ;
 propname = anyname | STR | NUM | '[' assign ']' ;
 function = [ 'async' ] 'function' [ '*' ] [ ident ] [ tparams ] '(' [ params ] ')' [ rettype ] block ;
-class = 'class' [ ident ] [ tparams ] [ 'extends' postfix ] [ implements ] '{' { ';' | member } '}' ;
+class = 'class' [ ident ] [ tparams ] [ 'extends' postfix ] [ implements ] '{' { ';' | member } [ lastmember ] '}' ;
 pattern = ident | array | object ;
 block = '{' stmts '}' ;
 stmts = { closed | simple ';' | ';' } [ open ] ;
-open = simple | 'if' '(' expr ')' open | 'if' '(' expr ')' sub 'else' open | 'for' [ 'await' ] '(' forhead ')' open | 'while' '(' expr ')' open ;
+open = simple | 'if' '(' expr ')' open | 'if' '(' expr ')' ( sub | simple ) 'else' open | 'for' [ 'await' ] '(' forhead ')' open | 'while' '(' expr ')' open ;
 sub = closed | simple ';' | ';' ;
 binop = '=' | OPASSIGN | '==' | '&&' | '||' | '??' | '|' | '&' | '^' | '+' | '-' | '*' | '/' | '%' | '**' | '<' | '>' [ '>' [ '>' ] ] [ '>=' ] | '<<' | '<=' | '>=' | 'in' | 'instanceof' ;
-closed = block | 'if' '(' expr ')' sub [ 'else' sub ] | 'for' [ 'await' ] '(' forhead ')' sub | 'while' '(' expr ')' sub | 'do' sub 'while' '(' expr ')'
+closed = block | 'if' '(' expr ')' sub [ 'else' sub ] | 'if' '(' expr ')' simple 'else' sub | 'for' [ 'await' ] '(' forhead ')' sub | 'while' '(' expr ')' sub | 'do' sub 'while' '(' expr ')'
   | 'try' block ( 'catch' [ '(' pattern [ annotation ] ')' ] block [ 'finally' block ] | 'finally' block )
   | 'switch' '(' expr ')' '{' { ( 'case' expr | 'default' ) ':' stmts } '}' | function | class | ident ':' sub | morestmt ;
 forhead = [ vardecl | expr ] ';' [ expr ] ';' [ expr ] | ( 'const' | 'let' | 'var' ) pattern ( 'of' | 'in' ) expr | postfix ( 'of' | 'in' ) expr ;
 vardecl = ( 'let' | 'var' ) binding { ',' binding } | 'const' cbinding { ',' cbinding } ;
 binding = ident [ '!' ] [ annotation ] [ '=' assign ] | pattern [ annotation ] '=' assign ;
-cbinding = pattern [ annotation ] '=' assign ;
+cbinding = pattern [ annotation ] '=' assign | ident annotation ;
 simple = vardecl | 'return' [ expr ] | 'throw' expr | ( 'break' | 'continue' ) [ ident ] | 'debugger' | !'{' !'function' !'class' expr | module ;
-module = 'import' STR | 'import' [ 'type' ] clause 'from' STR | 'export' ( vardecl | '*' [ 'as' anyname ] 'from' STR | named [ 'from' STR ] | 'default' !'function' !'class' assign ) ;
+module = 'import' STR | 'import' [ 'type' ] clause 'from' STR | 'export' ( vardecl | [ 'type' ] '*' [ 'as' anyname ] 'from' STR | [ 'type' ] named [ 'from' STR ] | 'default' !'function' !'class' assign | '=' assign | 'as' 'namespace' ident ) | [ 'export' ] 'import' ident '=' assign ;
 clause = ident [ ',' ( named | '*' 'as' ident ) ] | named | '*' 'as' ident ;
 named = '{' [ spec { ',' spec } [ ',' ] ] '}' ;
 spec = [ 'type' ] ( anyname | STR ) [ 'as' ( anyname | STR ) ] ;
@@ -54,37 +54,39 @@ file = { closed | simple ';' | ';' | 'export' [ 'default' ] ( function | class |
 """
 _JS_KEYS = "import export function const var for if return class this throw new await try catch null default true false while break else switch case typeof instanceof in do delete void extends super finally continue debugger".split()
 _JS_SOFT = "async of get set from as static let yield".split()
-_TS_SOFT = _JS_SOFT + "type declare abstract readonly public private protected interface enum namespace implements keyof is infer satisfies override module".split()
+_TS_SOFT = _JS_SOFT + "type declare abstract readonly public private protected interface enum namespace implements keyof is infer satisfies override module unique global".split()
 
 JS_EXTRA = """
-postmore = NEVER ; rettype = NEVER ; annotation = NEVER ; tparams = NEVER ; implements = NEVER ; morestmt = NEVER ;
+lastmember = [ 'static' ] propname [ '=' assign ] ; postmore = NEVER ; rettype = NEVER ; annotation = NEVER ; tparams = NEVER ; implements = NEVER ; morestmt = NEVER ;
 params = param { ',' param } [ ',' ] ;
 param = [ '...' ] pattern [ '=' assign ] ;
 member = method | [ 'static' ] propname [ '=' assign ] ';' | 'static' block ;
 """
 TS_EXTRA = """
 postmore = 'as' ( type | 'const' ) | 'satisfies' type | '!' | targs ;
-rettype = ':' [ ident 'is' ] type ;
+rettype = ':' [ [ ident ] ( ident | 'this' ) 'is' ] type | ':' ident ident ;
 annotation = ':' type ;
 tparams = '<' tparam { ',' tparam } [ ',' ] '>' ;
-tparam = ident [ 'extends' type ] [ '=' type ] ;
+tparam = [ 'const' ] [ 'in' ] ident [ ident ] [ 'extends' type ] [ '=' type ] ;
 implements = 'implements' type { ',' type } ;
 params = param { ',' param } [ ',' ] ;
 param = { modifier } [ '...' ] ( pattern | 'this' ) [ '?' ] [ annotation ] [ '=' assign ] ;
+lastmember = { modifier } ( { 'get' | 'set' } propname [ '?' ] [ tparams ] '(' [ params ] ')' [ rettype ] | propname [ '?' | '!' ] [ annotation ] [ '=' assign ] | '[' ident ':' type ']' ':' type ) ;
 modifier = 'public' | 'private' | 'protected' | 'readonly' | 'static' | 'abstract' | 'declare' | 'override' | 'async' ;
 member = { decorator } { modifier } ( { '*' | 'get' | 'set' } propname [ '?' ] [ tparams ] '(' [ params ] ')' [ rettype ] ( block | ';' ) | propname [ '?' | '!' ] [ annotation ] [ '=' assign ] ';' | '[' ident ':' type ']' ':' type ';' | block ) ;
 decorator = '@' postfix ;
 type = [ '|' | '&' ] ptype { ( '|' | '&' ) ptype } [ 'extends' type '?' type ':' type ] ;
 ptype = tprim { '[' [ type ] ']' } ;
-tprim = qual [ targs ] | STR | NUM | '-' NUM | TEMPLATE | '(' type ')' | [ 'new' ] [ tparams ] '(' [ params ] ')' '=>' type | '{' tmembers '}' | '[' [ telem { ',' telem } [ ',' ] ] ']'
-  | 'typeof' qual | 'keyof' ptype | 'readonly' ptype | 'infer' ident | 'null' | 'void' | 'this' | 'true' | 'false' | 'import' '(' STR ')' [ '.' qual ] ;
+tprim = qual [ targs ] | STR | NUM | '-' NUM | TEMPLATE | '(' type ')' | [ 'abstract' ] [ 'new' ] [ tparams ] '(' [ params ] ')' '=>' ( type | [ ident ] ( ident | 'this' ) 'is' type | ident ident ) | '{' tmembers '}' | '[' [ telem { ',' telem } [ ',' ] ] ']'
+  | 'typeof' ( qual | 'import' '(' STR ')' [ '.' qual ] ) [ targs ] | 'unique' ident | 'keyof' ptype | 'readonly' ptype | 'infer' ident [ 'extends' ptype ] | 'null' | 'void' | 'this' | 'true' | 'false' | 'import' '(' STR ')' [ '.' qual ] [ targs ] ;
 telem = [ '...' ] [ ident [ '?' ] ':' ] type ;
 targs = '<' type { ',' type } '>' ;
 qual = ident { '.' anyname } ;
 tmembers = { tmember ( ';' | ',' ) } [ tmember ] ;
-tmember = { 'readonly' | '-' | '+' } ( propname [ '?' ] [ annotation ] | [ propname | 'new' ] [ '?' ] [ tparams ] '(' [ params ] ')' [ rettype ] | '[' ident ( ':' | 'in' [ 'keyof' ] ) type ']' [ '?' ] ':' type ) ;
+tmember = { 'readonly' | '-' | '+' | 'get' | 'set' } ( propname [ '?' ] [ annotation ] | [ propname | 'new' ] [ '?' ] [ tparams ] '(' [ params ] ')' [ rettype ] | '[' ident ( ':' | 'in' [ 'keyof' ] ) type [ 'as' type ] ']' [ '-' | '+' ] [ '?' ] ':' type ) ;
 morestmt = [ 'declare' ] ( 'interface' ident [ tparams ] [ 'extends' type { ',' type } ] '{' tmembers '}' | [ 'const' ] 'enum' ident '{' [ ename { ',' ename } [ ',' ] ] '}' | ( 'namespace' | 'module' ) ( qual | STR ) '{' file '}'
-  | 'type' ident [ tparams ] '=' type ';' | 'abstract' class | decorator { decorator } [ 'export' ] class | 'function' ident [ tparams ] '(' [ params ] ')' [ rettype ] ';' ) ;
+  | 'type' ident [ tparams ] '=' type ';' | 'abstract' class | decorator { [ ';' ] decorator } [ ';' ] [ 'export' [ 'default' ] ] [ 'abstract' ] class | [ 'async' ] 'function' [ '*' ] [ ident ] [ tparams ] '(' [ params ] ')' [ rettype ] ';' | 'global' '{' file '}' ) | 'declare' ( [ 'abstract' ] class | ( 'const' | 'let' | 'var' ) dbinding { ',' dbinding } ';' | ( 'module' | 'namespace' ) STR ';' ) ;
+dbinding = ident [ annotation ] ;
 ename = propname [ '=' assign ] ;
 """
 
@@ -97,7 +99,7 @@ func = 'func' [ '(' params ')' ] IDENT [ '[' params ']' ] signature [ block ] ;
 signature = '(' [ params ] ')' [ type | '(' params ')' ] ;
 params = param { ',' param } [ ',' ] ;
 param = [ '...' ] type | IDENT [ '...' ] type ;
-type = IDENT [ '.' IDENT ] [ '[' type { ',' type } ']' ] | '*' type | '[' [ expr | '...' ] ']' type | 'map' '[' type ']' type | 'chan' type | '<-' 'chan' type | 'func' signature | struct | interface | '(' type ')' ;
+type = IDENT [ '.' IDENT ] [ '[' type { ',' type } ']' ] | '*' type | '[' [ expr | '...' ] ']' type | 'map' '[' type ']' type | 'chan' [ '<-' ] type | '<-' 'chan' type | 'func' signature | struct | interface | '(' type ')' ;
 struct = 'struct' '{' { field ';' } [ field ] '}' ;
 field = IDENT { ',' IDENT } type [ STR ] | [ '*' ] IDENT [ '.' IDENT ] [ STR ] ;
 interface = 'interface' '{' { ielem ';' } [ ielem ] '}' ;
@@ -120,7 +122,7 @@ primary = operand { '.' IDENT | '.' '(' ( type | 'type' ) ')' | '[' [ expr ] [ '
 call = '(' [ carg { ',' carg } [ '...' ] [ ',' ] ] ')' ;
 carg = expr | type ;
 operand = IDENT | NUM | STR | CHAR | '(' expr ')' | 'func' signature block | ctype ( lit | '(' expr [ ',' ] ')' ) | ctype ;
-ctype = '[' [ expr | '...' ] ']' type | 'map' '[' type ']' type | struct | interface | 'chan' type ;
+ctype = '[' [ expr | '...' ] ']' type | 'map' '[' type ']' type | struct | interface | 'chan' [ '<-' ] type ;
 lit = '{' [ elem { ',' elem } [ ',' ] ] '}' ;
 elem = [ ( expr | lit ) ':' ] ( expr | lit ) ;
 binop = '==' | '&&' | '||' | '|' | '&' | '^' | '+' | '-' | '*' | '/' | '%' | '<' | '>' | '<<' | '>>' | '<=' | '>=' ;
@@ -128,47 +130,49 @@ binop = '==' | '&&' | '||' | '|' | '&' | '^' | '+' | '-' | '*' | '/' | '%' | '<'
 
 RUST = """
 file = { '#' '!' tree } { item } ;
-item = { attr } [ vis ] ( 'use' usetree ';' | fn | struct | enum | impl | trait | 'mod' IDENT ( ';' | '{' { item } '}' ) | ( 'const' | 'static' ) [ 'mut' ] IDENT ':' type [ '=' expr ] ';' | 'type' IDENT [ gparams ] [ '=' type ] ';' | 'extern' ( 'crate' IDENT ';' | [ STR ] '{' { item } '}' ) | path '!' [ IDENT ] macro ) ;
+item = { attr } [ vis ] ( 'use' usetree ';' | fn | struct | enum | impl | trait | 'mod' IDENT ( ';' | '{' { item } '}' ) | ( 'const' | 'static' ) [ 'mut' ] IDENT ':' type [ '=' expr ] ';' | 'type' IDENT [ gparams ] [ ':' bounds ] [ where ] [ '=' type ] [ where ] ';' | IDENT IDENT [ gparams ] [ where ] '{' [ sfield { ',' sfield } [ ',' ] ] '}' | 'extern' ( 'crate' ( IDENT | 'self' ) [ 'as' IDENT ] ';' | [ STR ] '{' { item } '}' ) | path '!' [ IDENT ] macro ) ;
 macro = mparen ';' | '{' { tt } '}' ;
 attr = '#' tree ;
 vis = 'pub' [ '(' ( 'crate' | 'super' | 'self' | 'in' path ) ')' ] ;
 usetree = [ '::' ] ( useseg { '::' useseg } [ 'as' IDENT ] ) ;
 useseg = IDENT | 'crate' | 'self' | 'super' | '*' | '{' [ usetree { ',' usetree } [ ',' ] ] '}' ;
 fn = { 'const' | 'async' | 'unsafe' | 'extern' [ STR ] } 'fn' IDENT [ gparams ] '(' [ fparam { ',' fparam } [ ',' ] ] ')' [ '->' type ] [ where ] ( block | ';' ) ;
-fparam = { attr } ( [ '&' [ LIFETIME ] ] [ 'mut' ] 'self' [ ':' type ] | pat ':' type ) ;
+fparam = { attr } ( [ '&' [ LIFETIME ] ] [ 'mut' ] 'self' [ ':' type ] | pat ':' type | '...' ) ;
 gparams = '<' [ gparam { ',' gparam } [ ',' ] ] '>' ;
 gparam = ( LIFETIME | [ 'const' ] IDENT ) [ ':' bounds ] [ '=' type ] ;
 bounds = [ bound { '+' bound } ] ;
 bound = LIFETIME | [ '?' ] type ;
-where = 'where' type ':' bounds { ',' type ':' bounds } [ ',' ] ;
-struct = 'struct' IDENT [ gparams ] [ where ] ( '{' [ sfield { ',' sfield } [ ',' ] ] '}' | '(' [ tfield { ',' tfield } [ ',' ] ] ')' ';' | ';' ) ;
+where = 'where' [ clause { ',' clause } [ ',' ] ] ;
+clause = [ 'for' gparams ] ( type | LIFETIME ) ':' bounds ;
+struct = 'struct' IDENT [ gparams ] [ where ] ( '{' [ sfield { ',' sfield } [ ',' ] ] '}' | '(' [ tfield { ',' tfield } [ ',' ] ] ')' [ where ] ';' | ';' ) ;
 sfield = { attr } [ vis ] IDENT ':' type ;
 tfield = { attr } [ vis ] type ;
-enum = 'enum' IDENT [ gparams ] '{' [ variant { ',' variant } [ ',' ] ] '}' ;
+enum = 'enum' IDENT [ gparams ] [ where ] '{' [ variant { ',' variant } [ ',' ] ] '}' ;
 variant = { attr } IDENT [ '{' [ sfield { ',' sfield } [ ',' ] ] '}' | '(' [ tfield { ',' tfield } [ ',' ] ] ')' ] [ '=' expr ] ;
 impl = [ 'unsafe' ] 'impl' [ gparams ] [ '!' ] type [ 'for' type ] [ where ] '{' { item } '}' ;
 trait = [ 'unsafe' ] 'trait' IDENT [ gparams ] [ ':' bounds ] [ where ] '{' { item } '}' ;
-type = '&' [ LIFETIME ] [ 'mut' ] type | '&&' type | tpath | '[' type [ ';' expr ] ']' | '(' [ type { ',' type } [ ',' ] ] ')' | [ 'unsafe' ] 'fn' '(' [ type { ',' type } ] ')' [ '->' type ] | 'impl' bounds | 'dyn' bounds | '*' ( 'const' | 'mut' ) type | '!' ;
+type = '&' [ LIFETIME ] [ 'mut' ] type | '&&' type | tpath | '[' type [ ';' expr ] ']' | '(' [ type { ',' type } [ ',' ] ] ')' | [ 'unsafe' ] [ 'extern' [ STR ] ] 'fn' '(' [ fnarg { ',' fnarg } [ ',' ] ] ')' [ '->' type ] | 'for' gparams type | '<' type [ 'as' type ] '>' '::' tseg { '::' tseg } | [ '::' ] tseg { '::' tseg } '!' mtree | 'impl' bounds | 'dyn' bounds | '*' ( 'const' | 'mut' ) type | '!' ;
+fnarg = { attr } ( [ IDENT ':' ] type | '...' ) ;
 tpath = [ '::' ] tseg { '::' tseg } ;
 tseg = ( IDENT | 'self' | 'crate' | 'super' ) [ [ '::' ] targs | '(' [ type { ',' type } ] ')' [ '->' type ] ] ;
 targs = '<' [ targ { ',' targ } [ ',' ] ] '>' ;
-targ = LIFETIME | type | IDENT '=' type | NUM | block ;
+targ = LIFETIME | type | IDENT [ targs ] ( '=' type | ':' bounds ) | [ '-' ] NUM | STR | CHAR | 'true' | 'false' | block ;
 pat = [ '|' ] pat1 { '|' pat1 } ;
 pat1 = [ 'ref' ] [ 'mut' ] IDENT [ '@' pat1 ] | ppath [ '(' [ pat { ',' pat } [ ',' ] ] ')' | '{' [ fpat { ',' fpat } [ ',' ] ] '}' ] | plit [ ( '..' | '..=' ) [ plit ] ] | ( '..' | '..=' ) [ plit ] | '&' [ 'mut' ] pat1 | '(' [ pat { ',' pat } [ ',' ] ] ')' | '[' [ pat { ',' pat } [ ',' ] ] ']' ;
 plit = [ '-' ] NUM | STR | CHAR | 'true' | 'false' | ppath ;
 ppath = ( IDENT | 'self' | 'crate' | 'super' ) { '::' IDENT } ;
 fpat = '..' | [ 'ref' ] [ 'mut' ] IDENT [ ':' pat ] ;
 block = '{' { '#' '!' tree } stmts '}' ;
-stmts = { item | 'let' pat [ ':' type ] [ '=' expr [ 'else' block ] ] ';' | !'{' expr ';' | blockexpr | ';' } [ expr ] ;
+stmts = { item | { attr } 'let' pat [ ':' type ] [ '=' expr [ 'else' block ] ] ';' | { attr } !'{' expr ';' | { attr } blockexpr | ';' } [ { attr } expr ] ;
 blockexpr = [ LIFETIME ':' ] ( block | 'unsafe' block | 'async' [ 'move' ] block | if | 'match' expr '{' [ arm { arm } [ lastarm ] | lastarm ] '}' | 'loop' block | 'while' cond block | 'for' pat 'in' expr block ) | path '!' '{' { tt } '}' ;
 if = 'if' cond block [ 'else' ( if | block ) ] ;
 cond = expr | 'let' pat '=' expr { '&&' ( expr | 'let' pat '=' expr ) } ;
 arm = { attr } pat [ 'if' expr ] '=>' ( expr ',' | blockexpr [ ',' ] ) ;
 lastarm = { attr } pat [ 'if' expr ] '=>' expr ;
 expr = unary { binop unary } [ '..' [ unary { binop unary } ] ] | ( '..' | '..=' ) [ unary { binop unary } ] ;
-unary = { '-' | '!' | '*' | '&' [ 'mut' ] | '&&' [ 'mut' ] } postfix { 'as' type } | jump | closure ;
+unary = { '-' | '!' | '*' | '&' [ 'mut' ] | '&&' [ 'mut' ] } ( postfix { 'as' type } | jump | closure ) ;
 jump = 'return' [ expr ] | 'break' [ LIFETIME ] [ expr ] | 'continue' [ LIFETIME ] ;
-closure = [ 'move' ] ( '||' | '|' [ cparam { ',' cparam } ] '|' ) ( expr | '->' type block ) ;
+closure = [ 'static' ] [ 'async' ] [ 'move' ] ( '||' | '|' [ cparam { ',' cparam } ] '|' ) ( expr | '->' type block ) ;
 cparam = pat1 [ ':' type ] ;
 postfix = primary { '.' ( IDENT [ '::' targs ] | NUM | 'await' ) | '(' [ expr { ',' expr } [ ',' ] ] ')' | '[' expr ']' | '?' } ;
 primary = path [ '!' mtree | '{' [ finit { ',' finit } [ ',' [ '..' expr ] ] | '..' expr ] '}' ] | NUM | STR | CHAR | 'true' | 'false' | '(' [ expr { ',' expr } [ ',' ] ] ')' | '[' [ expr ( ';' expr | { ',' expr } [ ',' ] ) ] ']' | blockexpr ;
@@ -189,9 +193,9 @@ mods = { annotation | MODIFIER | 'static' | 'final' | 'default' | 'synchronized'
 annotation = '@' qual [ '(' [ aval { ',' aval } ] ')' ] ;
 aval = [ IDENT '=' ] ( expr | annotation | '{' [ ( expr | annotation ) { ',' ( expr | annotation ) } [ ',' ] ] '}' ) ;
 typedecl = mods ( class | interface | enum | record ) ;
-class = 'class' IDENT [ tparams ] [ 'extends' type ] [ 'implements' type { ',' type } ] body ;
+class = 'class' IDENT [ tparams ] [ 'extends' type ] [ 'implements' type { ',' type } ] [ 'permits' type { ',' type } ] body ;
 record = 'record' IDENT [ tparams ] '(' [ params ] ')' [ 'implements' type { ',' type } ] body ;
-interface = [ '@' ] 'interface' IDENT [ tparams ] [ 'extends' type { ',' type } ] body ;
+interface = [ '@' ] 'interface' IDENT [ tparams ] [ 'extends' type { ',' type } ] [ 'permits' type { ',' type } ] body ;
 enum = 'enum' IDENT [ 'implements' type { ',' type } ] '{' [ econst { ',' econst } [ ',' ] ] [ ';' { member } ] '}' ;
 econst = { annotation } IDENT [ args ] [ body ] ;
 body = '{' { member } '}' ;
@@ -215,8 +219,10 @@ stmt = block | ';' | 'if' '(' expr ')' stmt [ 'else' stmt ] | 'for' '(' forhead
 exprstmt = { '++' | '--' } postfix [ assignop expr ] ;
 resource = [ 'final' ] type IDENT '=' expr | qual ;
 forhead = [ localvar | expr { ',' expr } ] ';' [ expr ] ';' [ expr { ',' expr } ] | [ 'final' ] type IDENT ':' expr ;
-swbody = '{' { ( 'case' expr { ',' expr } | 'default' ) ( ':' { bstmt } | '->' ( expr ';' | block | 'throw' expr ';' ) ) } '}' ;
-expr = lambda | unary { binop unary } [ '?' expr ':' expr ] [ assignop expr ] | unary { binop unary } 'instanceof' [ 'final' ] type [ IDENT ] { binop unary } [ '?' expr ':' expr ] ;
+swbody = '{' { ( 'case' citem { ',' citem } | 'default' ) ( ':' { bstmt } | '->' ( expr ';' | block | 'throw' expr ';' ) ) } '}' ;
+citem = expr | pattern [ 'when' expr ] | 'default' ;
+pattern = [ 'final' ] type ( IDENT | '(' [ pattern { ',' pattern } ] ')' [ IDENT ] ) ;
+expr = lambda | unary { binop unary } [ '?' expr ':' expr ] [ assignop expr ] | unary { binop unary } 'instanceof' ( [ 'final' ] type [ IDENT ] | pattern ) { binop unary } [ '?' expr ':' expr ] ;
 lambda = ( IDENT | '(' [ lparam { ',' lparam } ] ')' ) '->' ( expr | block ) ;
 lparam = [ 'final' ] [ type ] IDENT ;
 unary = { '-' | '+' | '!' | '~' | '++' | '--' | '(' type { '&' type } ')' } postfix | { '(' type ')' } lambda ;
@@ -231,11 +237,11 @@ binop = '==' | '&&' | '||' | '|' | '&' | '^' | '+' | '-' | '*' | '/' | '%' | '<'
 
 CPP = """
 file = { decl } ;
-decl = ';' | [ 'inline' ] 'namespace' [ qid ] '{' { decl } '}' | 'using' ( 'namespace' qid | IDENT '=' type | [ 'typename' ] qid ) ';' | 'typedef' dspec declarator ';' | 'template' '<' [ tparam { ',' tparam } ] '>' decl | 'extern' STR ( '{' { decl } '}' | decl ) | 'static_assert' '(' expr { ',' expr } ')' ';'
+decl = ';' | 'friend' ( decl | [ 'class' | 'struct' | 'typename' ] qid ';' ) | { spec } ( 'class' | 'struct' | 'union' | 'enum' [ 'class' | 'struct' ] ) qid [ ':' type ] ';' | [ 'inline' ] 'namespace' [ qid ] '{' { decl } '}' | 'using' ( 'namespace' qid | IDENT '=' type | [ 'typename' ] qid ) ';' | 'typedef' dspec declarator ';' | 'template' '<' [ tparam { ',' tparam } ] '>' decl | 'extern' STR ( '{' { decl } '}' | decl ) | 'static_assert' '(' expr { ',' expr } ')' ';'
   | { spec } record [ initdecl { ',' initdecl } ] ';' | { spec } enum [ initdecl { ',' initdecl } ] ';' | function | vardecl ';' | ctor ;
-tparam = ( 'typename' | 'class' ) [ '...' ] [ IDENT ] [ '=' type ] | type [ IDENT ] [ '=' unary ] ;
+tparam = 'template' '<' [ tparam { ',' tparam } ] '>' ( 'class' | 'typename' ) [ '...' ] [ IDENT ] | ( 'typename' | 'class' ) [ '...' ] [ IDENT ] [ '=' type ] | type [ IDENT ] [ '=' unary ] ;
 spec = SPEC | 'static' | 'const' | 'inline' | 'extern' | '[' '[' qid ']' ']' ;
-record = ( 'class' | 'struct' | 'union' ) [ qid ] [ 'final' ] [ ':' base { ',' base } ] '{' { cmember } '}' ;
+record = ( 'class' | 'struct' | 'union' ) [ IDENT ] [ qid ] [ 'final' ] [ ':' base { ',' base } ] '{' { cmember } '}' ;
 base = { ACCESS | SPEC } qid ;
 cmember = ACCESS ':' | 'friend' decl | decl ;
 enum = 'enum' [ 'class' | 'struct' ] [ IDENT ] [ ':' type ] '{' [ IDENT [ '=' expr ] { ',' IDENT [ '=' expr ] } [ ',' ] ] '}' ;
@@ -250,9 +256,9 @@ braces = '{' [ binit { ',' binit } [ ',' ] ] '}' ;
 binit = [ '.' IDENT '=' ] ( expr | braces ) ;
 vardecl = dspec initdecl { ',' initdecl } ;
 function = dspec { '*' | '&' | '&&' } ( qid | opname ) '(' [ params ] ')' ftail ;
-opname = { qid '::' } 'operator' ( '(' ')' | '[' ']' | binop | '!' | '~' | '++' | '--' | '->' | type ) ;
+opname = { qid '::' } 'operator' ( '(' ')' | '[' ']' | binop | '=' | OPASSIGN | ',' | '!' | '~' | '++' | '--' | '->' | STR IDENT | 'new' [ '[' ']' ] | 'delete' [ '[' ']' ] | type ) ;
 ftail = { 'const' | '&' | '&&' | 'noexcept' [ '(' expr ')' ] | SPEC } [ '->' type ] ( ';' | '=' ( 'default' | 'delete' | NUM ) ';' | block ) ;
-ctor = { spec } [ '~' ] qid '(' [ params ] ')' { 'noexcept' | SPEC } ( ';' | '=' ( 'default' | 'delete' ) ';' | [ ':' minit { ',' minit } ] block ) ;
+ctor = { spec } [ '~' ] qid '(' [ params ] ')' { 'noexcept' [ '(' expr ')' ] | SPEC } [ '->' type ] ( ';' | '=' ( 'default' | 'delete' ) ';' | [ ':' minit { ',' minit } ] block ) ;
 minit = qid ( '(' [ exprs ] ')' | braces ) ;
 params = param { ',' param } [ ',' '...' ] | '...' ;
 param = dspec { '*' | '&' | '&&' | 'const' } [ '...' ] [ IDENT | '(' '*' [ IDENT ] ')' '(' [ params ] ')' ] { '[' [ expr ] ']' } [ '=' init ] ;
@@ -267,8 +273,8 @@ forhead = ( [ vardecl | exprs ] ) ';' [ cond ] ';' [ exprs ] | dspec { '*' | '&'
 exprs = ( expr | braces ) { ',' ( expr | braces ) } ;
 expr = unary { binop unary } [ '?' expr ':' expr ] [ ( '=' | OPASSIGN ) init ] ;
 unary = { '-' | '+' | '!' | '~' | '++' | '--' | '*' | '&' | 'sizeof' | 'delete' [ '[' ']' ] | '(' type ')' } postfix ;
-postfix = primary { '.' [ 'template' ] qid | '->' qid | '[' expr ']' | '(' [ exprs ] ')' | '++' | '--' | braces } ;
-primary = qid | NUM | STR { STR } | CHAR | 'true' | 'false' | 'nullptr' | 'this' | '(' expr { ',' expr } ')' | 'new' type [ '(' [ exprs ] ')' | braces ] | CAST '<' type '>' '(' expr ')' | BUILTIN { BUILTIN } ( '(' [ expr ] ')' | braces ) | lambda | 'sizeof' '(' type ')' | 'throw' expr | 'auto' '(' expr ')' ;
+postfix = primary { ( '.' | '->' ) [ 'template' | '~' ] qid | '[' expr ']' | '(' [ exprs ] ')' | '++' | '--' | braces } ;
+primary = qid | opname | 'noexcept' '(' expr ')' | NUM | STR { STR } | CHAR | 'true' | 'false' | 'nullptr' | 'this' | '(' expr { ',' expr } ')' | 'new' type [ '(' [ exprs ] ')' | braces ] | CAST '<' type '>' '(' expr ')' | BUILTIN { BUILTIN } ( '(' [ expr ] ')' | braces ) | lambda | 'sizeof' '(' type ')' | 'throw' expr | 'auto' '(' expr ')' ;
 lambda = '[' [ capture { ',' capture } ] ']' [ '(' [ params ] ')' ] { SPEC | 'noexcept' } [ '->' type ] block ;
 capture = '&' [ IDENT ] | '=' | [ '*' ] 'this' | IDENT [ '=' expr ] ;
 binop = '==' | '&&' | '||' | '|' | '&' | '^' | '+' | '-' | '*' | '/' | '%' | '<' | '<<' | '>' [ '>' ] | '<=' | '>=' | '<=>' ;
@@ -276,8 +282,12 @@ binop = '==' | '&&' | '||' | '|' | '&' | '^' | '+' | '-' | '*' | '/' | '%' | '<'
 
 SQL = """
 file = { ';' } [ stmt { ';' { ';' } stmt } { ';' } ] ;
-stmt = query | insert | update | delete | create | alter | drop | 'GRANT' words 'ON' words 'TO' names | 'REVOKE' words 'ON' words 'FROM' names | ( 'BEGIN' | 'COMMIT' | 'ROLLBACK' ) [ 'TRANSACTION' | 'WORK' ] | 'SET' name ( '=' | 'TO' ) expr { ',' expr } | 'TRUNCATE' [ 'TABLE' ] name | 'USE' name | 'ANALYZE' [ name ] | 'EXPLAIN' stmt ;
-words = name { ',' name } ;
+stmt = query | insert | update | delete | create | alter | drop | 'GRANT' privs 'ON' object 'TO' names [ 'WITH' 'GRANT' NAME ] | 'REVOKE' privs 'ON' object 'FROM' names [ NAME ] | merge | ( 'BEGIN' | 'COMMIT' | 'ROLLBACK' ) [ 'TRANSACTION' | 'WORK' ] | 'SET' name ( '=' | 'TO' ) expr { ',' expr } | 'TRUNCATE' [ 'TABLE' ] name | 'USE' name | 'ANALYZE' [ name ] | 'EXPLAIN' stmt ;
+privs = priv { ',' priv } ;
+priv = name | 'SELECT' | 'INSERT' | 'UPDATE' | 'DELETE' | 'ALL' [ NAME ] ;
+object = [ 'TABLE' | 'SCHEMA' | 'DATABASE' | 'SEQUENCE' ] names | 'ALL' NAME 'IN' 'SCHEMA' name ;
+merge = 'MERGE' 'INTO' name [ [ 'AS' ] NAME ] 'USING' source 'ON' expr when { when } ;
+when = 'WHEN' [ 'NOT' ] 'MATCHED' [ 'AND' expr ] 'THEN' ( 'UPDATE' 'SET' sets | 'DELETE' | 'DO' 'NOTHING' | 'INSERT' [ '(' names ')' ] 'VALUES' row ) ;
 names = name { ',' name } ;
 query = [ 'WITH' [ 'RECURSIVE' ] cte { ',' cte } ] select { ( 'UNION' | 'EXCEPT' | 'INTERSECT' ) [ 'ALL' | 'DISTINCT' ] select } [ order ] [ limit ] ;
 cte = name [ '(' names ')' ] 'AS' '(' query ')' ;
@@ -304,7 +314,7 @@ alter = 'ALTER' ( 'TABLE' name aact { ',' aact } | ( 'USER' | 'ROLE' ) name { [
 aact = 'ADD' [ 'COLUMN' ] col | 'DROP' [ 'COLUMN' ] name | 'RENAME' [ 'COLUMN' ] [ name ] 'TO' name | 'ALTER' [ 'COLUMN' ] name NAME coltype ;
 drop = 'DROP' ( 'TABLE' | 'VIEW' | 'INDEX' | 'USER' | 'ROLE' | 'DATABASE' | 'SCHEMA' | 'SEQUENCE' ) [ 'IF' 'EXISTS' ] names [ NAME ] ;
 name = anyn { '.' anyn } ;
-anyn = NAME | 'USER' | 'ROLE' | 'FIRST' | 'LAST' | 'TEMP' | 'COLUMN' | 'PASSWORD' | 'WORK' | 'INDEX' | 'KEY' ;
+anyn = NAME | 'MATCHED' | 'USER' | 'ROLE' | 'FIRST' | 'LAST' | 'TEMP' | 'COLUMN' | 'PASSWORD' | 'WORK' | 'INDEX' | 'KEY' ;
 exprs = expr { ',' expr } ;
 expr = not { ( 'AND' | 'OR' ) not } ;
 not = { 'NOT' } cmp ;
@@ -474,6 +484,23 @@ class LineLanguage(Language):
         return out
 
 
+# A regular expression literal stands where no operand has just ended; strings, templates and comments are passed over.
+_REGEX_LITERAL = re.compile(
+    rf"({_DQ}|{_SQ}|`(?:[^`\\]|\\[\s\S])*`|{_C_COMMENT})"
+    r"|((?:[(,=:\[!&|?{;+*%~^-]|\b(?:return|typeof|case|in|of|do|else|void|delete|throw|await|yield)\b|=>)\s*)(/(?![*/])(?:[^/\\\[\n]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*\])+/[a-zA-Z]*)"
+)
+_MAY_HOLD_REGEX = re.compile(r"[(,=:\[!&|?{;+*%~^n>-]\s*/[^/*\s]")
+
+
+class _Script(LineLanguage):
+    """JavaScript and TypeScript: literals of regular expressions are read as strings."""
+
+    def classes(self, text: str):
+        if _MAY_HOLD_REGEX.search(text):
+            text = _REGEX_LITERAL.sub(lambda m: m.group() if m.group(1) else m.group(2) + '"r"', text)
+        return super().classes(text)
+
+
 def _soft(names) -> str:
     return " | ".join(f"'{n}'" for n in names)
 
@@ -483,12 +510,12 @@ def _js(typed: bool) -> LineLanguage:
     keys = _JS_KEYS + soft
     g = EXPR_JS + (TS_EXTRA if typed else JS_EXTRA)
     g += f"ident = IDENT | {_soft(soft)} ; anyname = IDENT | {_soft(keys)} ;"
-    pattern = rf"\n|[A-Za-z_$][\w$]*|[ª-￿][\w$]*|{_NUM}n?[A-Za-z_$]*|{_DQ}|{_SQ}|`(?:[^`\\]|\\[\s\S])*(?:`|\Z)|{_C_COMMENT}|=>|\.\.\.|\?\.(?!\d)|\?\?=?|===?|!==?|\*\*=?|\+\+|--|&&=?|\|\|=?|<<=?|<=|>=|[-+*/%&|^]=|[^\s\w]"
-    groups = [(r"\n", "LINE"), _OPEN, (r"//|/\*[\s\S]", "SKIP"), (rf"(?:{'|'.join(keys)})$", None), (r"[A-Za-z_$ª-￿][\w$]*$", "IDENT"), (rf"{_NUM}n?$", "NUM"), (r"[\"'].", "STR"), (r"`(?!(?s:.*)`\Z)", "ERROR"), (r"`", "TEMPLATE"), (r"(?:===?|!==?)$", "=="), (r"(?:[-+*/%&|^]|\*\*|&&|\|\||\?\?|<<)=$", "OPASSIGN")]
+    pattern = rf"\A#![^\n]*|\n|#?[A-Za-z_$][\w$]*|[ª-￿][\w$]*|{_NUM}n?[A-Za-z_$]*|{_DQ}|{_SQ}|`(?:[^`\\]|\\[\s\S])*(?:`|\Z)|{_C_COMMENT}|=>|\.\.\.|\?\.(?!\d)|\?\?=?|===?|!==?|\*\*=?|\+\+|--|&&=?|\|\|=?|<<=?|<=|>=|[-+*/%&|^]=|[^\s\w]"
+    groups = [(r"\n", "LINE"), _OPEN, (r"#!", "SKIP"), (r"//|/\*[\s\S]", "SKIP"), (rf"(?:{'|'.join(keys)})$", None), (r"#?[A-Za-z_$ª-￿][\w$]*$", "IDENT"), (rf"{_NUM}n?$", "NUM"), (r"[\"'].", "STR"), (r"`(?!(?s:.*)`\Z)", "ERROR"), (r"`", "TEMPLATE"), (r"(?:===?|!==?)$", "=="), (r"(?:[-+*/%&|^]|\*\*|&&|\|\||\?\?|<<)=$", "OPASSIGN")]
     groups = [(p, c) for p, c in groups if c]
-    lang = LineLanguage(
+    lang = _Script(
         g, pattern, keys, groups=groups,
-        enders=["IDENT", "NUM", "STR", "TEMPLATE", ")", "]", "}", "++", "--", "this", "null", "true", "false", "return", "break", "continue", "super", *soft],
+        enders=["IDENT", "NUM", "STR", "TEMPLATE", ")", "]", "}", "++", "--", "this", "null", "true", "false", "return", "break", "continue", "super", *soft, *([">", "void"] if typed else [])],
         starters=[".", "?.", ",", ")", "]", "}", "?", ":", "=", "==", "&&", "||", "??", "|", "&", "^", "+", "-", "*", "/", "%", "**", "<", ">", "<<", "<=", ">=", "=>", "OPASSIGN", "in", "instanceof", "else", "catch", "finally", "(", "[", "TEMPLATE", ";", "{"],
     )
     return lang
@@ -504,19 +531,19 @@ def _go() -> LineLanguage:
 
 def _rust() -> Language:
     keys = "use pub fn struct enum impl trait mod const static let mut if else match for in while loop return break continue self crate super where as type unsafe async await move dyn ref extern true false".split()
-    pattern = rf"r#*\"[\s\S]*?\"#*|b?{_DQ[:-1]}\"|(?:b)?'(?:[^'\\\n]|\\(?:x..|u\{{[0-9a-fA-F]+\}}|.))'|'[A-Za-z_]\w*|[A-Za-z_]\w*|\d[\d_]*(?:\.\d[\d_]*(?:[eE][-+]?\d+)?|\.(?![.\w]))?[A-Za-z_]?\w*|{_C_COMMENT}|::|->|=>|\.\.=|\.\.\.|\.\.|==|!=|&&|\|\||<=|>=|<<=|[-+*/%&|^]=|[^\s\w]"
-    pattern = pattern.replace(_DQ, '"(?:[^"\\\\]|\\\\[\\s\\S])*"')
-    groups = [_OPEN, (r"//|/\*[\s\S]", "SKIP"), (r"r#*\".|b?\".|b?\"\"", "STR"), (r"b?'(?:[^'\\\n]|\\.+)'$", "CHAR"), (r"'[A-Za-z_]\w*$", "LIFETIME"), (r"[A-Za-z_]\w*$", "IDENT"), (r"(?:0x[0-9a-fA-F_]+|0b[01_]+|0o[0-7_]+|\d[\d_]*(?:\.[\d_]*)?(?:[eE][-+]?\d+)?)(?:_?[iuf](?:8|16|32|64|128|size))?$", "NUM"), (r"(?:==|!=)$", "=="), (r"(?:[-+*/%&|^]|<<)=$", "OPASSIGN")]
+    raw = "|".join(rf'[bc]?r{h}"[\s\S]*?"{h}' for h in ("#####", "####", "###", "##", "#", ""))
+    pattern = rf"{raw}|[bc]?\"(?:[^\"\\]|\\[\s\S])*\"|r#[A-Za-z_]\w*|(?:b)?'(?:[^'\\\n]|\\(?:x..|u\{{[0-9a-fA-F]+\}}|.))'|'[A-Za-z_]\w*|[A-Za-z_]\w*|\d[\d_]*(?:\.\d[\d_]*(?:[eE][-+]?\d+)?|\.(?![.\w]))?[A-Za-z_]?\w*|{_C_COMMENT}|::|->|=>|\.\.=|\.\.\.|\.\.|==|!=|&&|\|\||<=|>=|<<=|[-+*/%&|^]=|[^\s\w]"
+    groups = [_OPEN, (r"//|/\*[\s\S]", "SKIP"), (r"[bc]?r#*\".|[bc]?\".|b?\"\"", "STR"), (r"r#[A-Za-z_]", "IDENT"), (r"b?'(?:[^'\\\n]|\\.+)'$", "CHAR"), (r"'[A-Za-z_]\w*$", "LIFETIME"), (r"[A-Za-z_]\w*$", "IDENT"), (r"(?:0x[0-9a-fA-F_]+|0b[01_]+|0o[0-7_]+|\d[\d_]*(?:\.[\d_]*)?(?:[eE][-+]?\d+)?)(?:_?[iuf](?:8|16|32|64|128|size))?$", "NUM"), (r"(?:==|!=)$", "=="), (r"(?:[-+*/%&|^]|<<)=$", "OPASSIGN")]
     plain = sorted(set(re.findall(r"'([^']+)'", RUST)) - {"(", ")", "[", "]", "{", "}"})
     any_tok = "anytok = IDENT | NUM | STR | CHAR | LIFETIME | OPASSIGN | '$' | '@' | " + _soft(plain) + " ;"
     return Language(RUST + any_tok, pattern, keys, groups=groups)
 
 
 def _java() -> Language:
-    keys = "package import static final default synchronized class interface enum record extends implements super throws void this if else for while do return throw break continue try catch finally switch case assert new instanceof true false null".split()
-    pattern = rf"[A-Za-z_$][\w$]*|[ª-￿]\w*|{_NUM}[A-Za-z_]*|\"\"\"[\s\S]*?\"\"\"|{_DQ}|'(?:[^'\\\n]|\\[^\n]+?)'|{_C_COMMENT}|::|->|\.\.\.|==|!=|\+\+|--|&&|\|\||<<=?|<=|>=|[-+*/%&|^]=|[^\s\w]"
-    groups = [_OPEN, (r"//|/\*[\s\S]", "SKIP"), (r"(?:public|private|protected|abstract|native|transient|volatile|strictfp|sealed)$", "MODIFIER"), (r"(?:int|long|short|byte|char|float|double|boolean)$", "PRIM"), (r"[A-Za-z_$ª-￿][\w$]*$", "IDENT"), (rf"{_NUM}[lLfFdD]?$", "NUM"), (r"\".|\"\"", "STR"), (r"'.", "CHAR"), (r"(?:==|!=)$", "=="), (r"(?:[-+*/%&|^]|<<)=$", "OPASSIGN")]
-    g = re.sub(r"\bIDENT\b", "id", JAVA) + " id = IDENT | 'record' ;"
+    keys = "package import static final default synchronized class interface enum record extends implements super throws void this if else for while do return throw break continue try catch finally switch case assert new instanceof true false null permits when".split()
+    pattern = rf"non-sealed|[A-Za-z_$][\w$]*|[ª-￿]\w*|{_NUM}[A-Za-z_]*|\"\"\"[\s\S]*?\"\"\"|{_DQ}|'(?:[^'\\\n]|\\[^\n]+?)'|{_C_COMMENT}|::|->|\.\.\.|==|!=|\+\+|--|&&|\|\||<<=?|<=|>=|[-+*/%&|^]=|[^\s\w]"
+    groups = [_OPEN, (r"//|/\*[\s\S]", "SKIP"), (r"(?:public|private|protected|abstract|native|transient|volatile|strictfp|sealed|non-sealed)$", "MODIFIER"), (r"(?:int|long|short|byte|char|float|double|boolean)$", "PRIM"), (r"[A-Za-z_$ª-￿][\w$]*$", "IDENT"), (rf"{_NUM}[lLfFdD]?$", "NUM"), (r"\".|\"\"", "STR"), (r"'.", "CHAR"), (r"(?:==|!=)$", "=="), (r"(?:[-+*/%&|^]|<<)=$", "OPASSIGN")]
+    g = re.sub(r"\bIDENT\b", "id", JAVA) + " id = IDENT | 'record' | 'permits' | 'when' ;"
     return Language(g, pattern, keys, groups=groups)
 
 
@@ -526,7 +553,16 @@ def _cpp() -> Language:
     groups = [_OPEN, (r"//|/\*[\s\S]", "SKIP"), (r"[ \t]*#[ \t]*(?:(?:define|undef|if|ifdef|ifndef|elif|else|endif|pragma|error|warning|line)\b|include\s*(?:<[^<>\n]+>|\"[^\"\n]+\"|[A-Za-z_]\w*)\s*(?://|/\*|$))|[ \t]*#\s*$", "SKIP"), (r"(?:public|private|protected)$", "ACCESS"), (r"(?:explicit|virtual|mutable|volatile|override|register|thread_local|consteval|constinit)$", "SPEC"), (r"(?:static_cast|dynamic_cast|const_cast|reinterpret_cast)$", "CAST"),
               (r"(?:int|long|short|char|float|double|bool|void|unsigned|signed|wchar_t|char8_t|char16_t|char32_t)$", "BUILTIN"), (r"R\"", "STR"), (r"[A-Za-z_]\w*$", "IDENT"), (rf"(?:{_NUM}|\d[\d']*)(?:[uUlLfFzZ]*)$", "NUM"), (r"\".|\"\"", "STR"), (r"'.", "CHAR"), (r"(?:==|!=)$", "=="), (r"(?:[-+*/%&|^]|<<)=$", "OPASSIGN")]
     g = CPP.replace("spec = SPEC", "spec = SPEC | 'constexpr'")
-    return Language(g, pattern, keys, groups=groups)
+    return _Cpp(g, pattern, keys, groups=groups)
+
+
+# A line of nothing but a macro's name stands for what only the preprocessor knows.
+_MACRO_LINE = re.compile(r"(?m)^[ \t]*[A-Z][A-Z0-9]*_[A-Z0-9_]+[ \t]*\r?$")
+
+
+class _Cpp(Language):
+    def classes(self, text: str):
+        return super().classes(_MACRO_LINE.sub("", text))
 
 
 class _Folded(Language):
