@@ -62,32 +62,51 @@ def sketch_bits(distinct: int) -> int:
     return min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(max(1, CELLS_PER_ENTRY * distinct)))))
 
 
-def _sketch(entries: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
-    """Saturating counts by cell of the numbers ``h``, whether a cell has any with ``flag``, and the bits of a cell.
+def _sketch(entries: DataFrame, bits: int | None = None) -> tuple[np.ndarray, int]:
+    """Saturating counts by cell of the numbers ``h``, and the bits of a cell.
 
     Counts by cell combine before the shuffle and are never more than the cells; each part of the
     table, of at most ``2^bits / SKETCH_PARTS`` cells, is packed by one task, whatever the input.
     """
-    bits = sketch_bits(entries.agg(F.approx_count_distinct("h", 0.05)).first()[0])
+    if bits is None:
+        bits = sketch_bits(entries.agg(F.approx_count_distinct("h", 0.05)).first()[0])
     size = 1 << bits
     step = size // SKETCH_PARTS
     cell = F.col("h").bitwiseAND(F.lit(size - 1))
-    counts = entries.groupBy(cell.alias("cell")).agg(F.least(F.count(F.lit(1)), F.lit(255)).cast("int").alias("n"), F.bool_or("flag").alias("flag"))
+    counts = entries.groupBy(cell.alias("cell")).agg(F.least(F.count(F.lit(1)), F.lit(255)).cast("int").alias("n"))
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         part = int(pdf["cell"].iloc[0]) // step
-        at = pdf["cell"].to_numpy() - part * step
-        cells, flags = np.zeros(step, dtype=np.uint8), np.zeros(step, dtype=np.uint8)
-        cells[at] = pdf["n"].to_numpy()
-        flags[at] = pdf["flag"].to_numpy()
-        return pd.DataFrame({"part": [part], "counts": [cells.tobytes()], "flags": [np.packbits(flags).tobytes()]})
+        cells = np.zeros(step, dtype=np.uint8)
+        cells[pdf["cell"].to_numpy() - part * step] = pdf["n"].to_numpy()
+        return pd.DataFrame({"part": [part], "counts": [cells.tobytes()]})
 
-    out, flagged = np.zeros(size, dtype=np.uint8), np.zeros(size, dtype=bool)
-    for r in counts.groupBy(F.floor(F.col("cell") / step)).applyInPandas(pack, "part int, counts binary, flags binary").collect():
-        where = slice(r["part"] * step, (r["part"] + 1) * step)
-        out[where] = np.frombuffer(r["counts"], dtype=np.uint8)
-        flagged[where] = np.unpackbits(np.frombuffer(r["flags"], dtype=np.uint8), count=step).astype(bool)
-    return out, flagged, bits
+    out = np.zeros(size, dtype=np.uint8)
+    for r in counts.groupBy(F.floor(F.col("cell") / step)).applyInPandas(pack, "part int, counts binary").collect():
+        out[r["part"] * step : (r["part"] + 1) * step] = np.frombuffer(r["counts"], dtype=np.uint8)
+    return out, bits
+
+
+def _total_order(sets: DataFrame):
+    """Broadcast counts by cell over all texts, of the shingles that evaluation texts have; others are 0.
+
+    Only training shingles whose cell an evaluation text fills can match, so only they are counted.
+    """
+    counts, bits = _sketch(sets.where("is_eval").select(F.explode("s").alias("h")))
+    context = sets.sparkSession.sparkContext
+    filled = context.broadcast(np.packbits(counts > 0))
+    mask = np.uint64((1 << bits) - 1)
+
+    @F.pandas_udf("array<long>")
+    def shared(col: pd.Series) -> pd.Series:
+        seen, out = filled.value, []
+        for s in col:
+            cell = (np.asarray(s, dtype=np.int64).view(np.uint64) & mask).astype(np.int64)
+            out.append(cell[((seen[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1).astype(bool)])
+        return pd.Series(out, dtype=object)
+
+    train, _ = _sketch(sets.where("NOT is_eval").select(F.explode(shared("s")).alias("h")), bits)
+    return context.broadcast(np.minimum(counts.astype(np.uint16) + train, 255).astype(np.uint8)), mask
 
 
 def _matched(e: DataFrame, t: DataFrame) -> DataFrame:
@@ -104,23 +123,18 @@ def _matched(e: DataFrame, t: DataFrame) -> DataFrame:
 
 def near_contents(sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``e, t``: ids of evaluation and training contents (``id, is_eval, is_train, s``) that are near-same."""
-    counted, in_eval, bits = _sketch(sets.select(F.explode("s").alias("h"), F.col("is_eval").alias("flag")))
-    sketch = sets.sparkSession.sparkContext.broadcast((counted, np.packbits(in_eval)))
-    mask = np.uint64((1 << bits) - 1)
+    sketch, mask = _total_order(sets)
 
     @F.pandas_udf("array<struct<h: long, p: int>>")
     def prefix(col: pd.Series, only_hits: pd.Series) -> pd.Series:
-        counts, seen = sketch.value
-        out = []
+        counts, out = sketch.value, []
         for s, probing in zip(col, only_hits, strict=True):
             h = np.asarray(s, dtype=np.int64)
             n = len(h)
-            cell = (h.view(np.uint64) & mask).astype(np.int64)
-            c = counts[cell]
+            c = counts[(h.view(np.uint64) & mask).astype(np.int64)]
             order = np.lexsort((h, c))[: n - math.ceil(similarity * n - 1e-9) + 1]
             if probing:  # a shingle of no evaluation text can't match
-                at = cell[order]
-                pos = np.flatnonzero((seen[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1)
+                pos = np.flatnonzero(c[order] > 0)
             else:
                 pos = np.arange(len(order))
             out.append([(int(x), int(p)) for x, p in zip(h[order[pos]], pos, strict=True)])
@@ -142,9 +156,9 @@ def near_contents(sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     )
     cand = materialize(cand, "candidates")
     # Only sets of candidates go on: a filter of bounded size on their ids spares the rest the shuffle.
-    ids = cand.select(F.explode(F.array("e", "t")).alias("id")).distinct().select(F.xxhash64("id").alias("h"), F.lit(True).alias("flag"))
-    _, listed, wbits = _sketch(ids)
-    wanted = sets.sparkSession.sparkContext.broadcast(listed)
+    ids = cand.select(F.explode(F.array("e", "t")).alias("id")).distinct().select(F.xxhash64("id").alias("h"))
+    listed, wbits = _sketch(ids)
+    wanted = sets.sparkSession.sparkContext.broadcast(listed > 0)
     wmask = np.uint64((1 << wbits) - 1)
 
     @F.pandas_udf("boolean")
