@@ -30,9 +30,9 @@ LANGUAGES = ("python", "javascript", "typescript", "go", "rust", "java", "cpp",
 SHINGLE = 5
 MIN_WORDS = 30
 SIMILARITY = 0.7
-#: Cells of the sketches by the number of distinct entries, two bytes a cell at most: 128 MB are broadcast whatever the size of the corpus.
+#: Cells of the sketches by the number of distinct entries, a byte a cell: 64 MB at most are broadcast whatever the size of the corpus.
 LEAST_BITS, MOST_BITS = 20, 26
-CELLS_PER_ENTRY = 4
+CELLS_PER_ENTRY = 2
 SKETCH_PARTS = 32
 #: Postings of training texts from which a shingle is split over salts.
 HOT_POSTINGS = 50_000

@@ -8,7 +8,7 @@ import numpy as np
 import xxhash
 
 WORD = re.compile(r"[A-Za-z0-9_]+")
-_CACHE_BOUND = 1_000_000
+_CACHE_BOUND = 250_000
 
 
 class _Hashes(dict):
